@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points Unicode calls white space, as a Java character class.
-WHITESPACE = (
-    r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The code points Unicode calls white space: those below U+0100 as a regex class
+# (a table lookup for the matcher), the others as characters.
+WHITESPACE = r"[\s\x1c-\x1f\x85\xa0]"
+WIDE_SPACES = (
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # The line boundaries that end a line of text.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -50,12 +53,20 @@ def casefold(text: Column) -> Column:
     return F.when(text.isNull() | is_ascii(text), F.lower(text)).otherwise(folded)
 
 
+def plain_spaces(text: Column) -> Column:
+    """Wide white space as single spaces: same length, so offsets stay true."""
+    wide = text.rlike(f"[{WIDE_SPACES}]")
+    blanks = " " * len(WIDE_SPACES)
+    return F.when(is_ascii(text), text).when(wide, F.translate(text, WIDE_SPACES, blanks)).otherwise(text)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WHITESPACE}+|{WHITESPACE}+\z", "")
+    space = f"(?:{WHITESPACE}|[{WIDE_SPACES}])"
+    return F.regexp_replace(text, rf"\A{space}+|{space}+\z", "")
 
 
 def squeeze(text: Column) -> Column:
-    """Without any whitespace."""
+    """Without any whitespace. ``text`` has plain spaces only, here and in ``collapse``."""
     return F.regexp_replace(text, f"{WHITESPACE}+", "")
 
 

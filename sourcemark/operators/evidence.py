@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sourcemark.functions import text as tx
 from sourcemark.functions.numbers import round_exact
-from sourcemark.operators.joins import attach
+from sourcemark.operators.joins import attach_bundles
 
 # The shortest quote that counts as evidence, and the shortest for tier three.
 MIN_QUOTE = 4
@@ -63,30 +63,36 @@ def _halve(text: Column, nth: Column, acc: Column) -> Column:
     )
 
 
-def locate_quotes(
-    df: DataFrame, text: str = "text", quote: str = "quote", pattern_chars: int = PATTERN_CHARS
-) -> DataFrame:
-    """Add found, char_start, char_end, match_kind, occurrences, is_ambiguous and reason.
+def _read_quotes(df: DataFrame, quote: str) -> DataFrame:
+    """Add the quote as searched for (_q) and why it is not searched for at all (_why)."""
+    return df.withColumn("_q", tx.strip(tx.nfc(F.coalesce(F.col(quote), F.lit(""))))).withColumn(
+        "_why",
+        F.when(F.col("_q") == "", "empty").when(F.char_length("_q") < MIN_QUOTE, "too_short"),
+    )
+
+
+def _looser_texts(df: DataFrame, text: str, needed: Column) -> DataFrame:
+    """Add the text with plain spaces, squeezed and collapsed, where ``needed``."""
+    return (
+        df.withColumn("_plain", F.when(needed, tx.plain_spaces(F.col(text))))
+        .withColumn("_st", tx.squeeze(F.col("_plain")))
+        .withColumn("_ct", tx.collapse(F.col("_plain")))
+    )
+
 
-    Each looser form of the text is derived only for rows the tighter tier missed. ``text``
-    must be NFC already, as :func:`resolve` and the assembly operators guarantee.
+def _place(df: DataFrame, text: str, pattern_chars: int) -> DataFrame:
+    """From _q, _why, _at and the looser texts to the outcome columns.
+
+    Each tier is evaluated only for rows the tighter one missed.
     """
-    t = F.col(text)
+    t, plain = F.col(text), F.col("_plain")
+    missed = F.col("_at") == 0
     staged = (
-        df.withColumn("_q", tx.strip(tx.nfc(F.col(quote))))
-        .withColumn(
-            "_why",
-            F.when(F.coalesce(F.col("_q"), F.lit("")) == "", "empty").when(
-                F.char_length("_q") < MIN_QUOTE, "too_short"
-            ),
-        )
-        .withColumn("_at", F.when(F.col("_why").isNull(), F.instr(t, F.col("_q"))))
-        .withColumn("_sq", F.when(F.col("_at") == 0, tx.squeeze(F.col("_q"))))
-        .withColumn("_st", F.when(F.col("_at") == 0, tx.squeeze(t)))
+        df.withColumn("_pq", F.when(missed, tx.plain_spaces(F.col("_q"))))
+        .withColumn("_sq", tx.squeeze(F.col("_pq")))
         # Both looser tiers need the squeezed quote inside the squeezed text.
-        .withColumn("_sat", F.when(F.col("_at") == 0, F.instr(F.col("_st"), F.col("_sq"))))
-        .withColumn("_cq", F.when(F.col("_sat") > 0, tx.collapse(F.col("_q"))))
-        .withColumn("_ct", F.when(F.col("_sat") > 0, tx.collapse(t)))
+        .withColumn("_sat", F.when(missed, F.instr(F.col("_st"), F.col("_sq"))))
+        .withColumn("_cq", F.when(F.col("_sat") > 0, tx.collapse(F.col("_pq"))))
         .withColumn("_cat", F.when(F.col("_sat") > 0, F.instr(F.col("_ct"), F.col("_cq"))))
         .withColumn(
             "match_kind",
@@ -101,8 +107,8 @@ def locate_quotes(
     before = F.when(
         collapsed, F.char_length(tx.squeeze(F.substr(F.col("_ct"), F.lit(1), F.col("_cat") - 1)))
     ).otherwise(F.col("_sat") - 1)
-    matched = F.when(collapsed, F.regexp_substr(t, tx.words_pattern(F.col("_cq")))).when(
-        squeezed, F.regexp_substr(t, tx.letters_pattern(F.col("_sq")))
+    matched = F.when(collapsed, F.regexp_substr(plain, tx.words_pattern(F.col("_cq")))).when(
+        squeezed, F.regexp_substr(plain, tx.letters_pattern(F.col("_sq")))
     )
     return (
         staged.withColumn("_m", F.when(~exact & short, matched))
@@ -110,8 +116,8 @@ def locate_quotes(
         .withColumn(
             "char_start",
             F.when(exact, F.col("_at") - 1)
-            .when(F.col("_m").isNotNull(), F.instr(t, F.col("_m")) - 1)
-            .when(F.col("_v").isNotNull(), nth_visible(t, F.col("_v")))
+            .when(F.col("_m").isNotNull(), F.instr(plain, F.col("_m")) - 1)
+            .when(F.col("_v").isNotNull(), nth_visible(plain, F.col("_v")))
             .cast("int"),
         )
         .withColumn(
@@ -120,7 +126,7 @@ def locate_quotes(
             .when(F.col("_m").isNotNull(), F.col("char_start") + F.char_length("_m"))
             .when(
                 F.col("_v").isNotNull(),
-                nth_visible(t, F.col("_v") + F.char_length("_sq") - 1) + 1,
+                nth_visible(plain, F.col("_v") + F.char_length("_sq") - 1) + 1,
             )
             .cast("int"),
         )
@@ -142,30 +148,50 @@ def locate_quotes(
             "reason",
             F.coalesce(F.col("_why"), F.when(F.col("match_kind").isNull(), F.lit("not_found"))),
         )
-        .drop("_q", "_why", "_at", "_sq", "_st", "_sat", "_cq", "_ct", "_cat", "_m", "_v")
+        .drop("_q", "_pq", "_why", "_at", "_sq", "_sat", "_cq", "_cat", "_m", "_v", "_plain", "_st", "_ct")
     )
 
 
+def locate_quotes(
+    df: DataFrame, text: str = "text", quote: str = "quote", pattern_chars: int = PATTERN_CHARS
+) -> DataFrame:
+    """Rows holding a text and a quote: add found, char_start, char_end, match_kind,
+    occurrences, is_ambiguous and reason. ``text`` must be NFC already.
+    """
+    at = F.when(F.col("_why").isNull(), F.instr(F.col(text), F.col("_q")))
+    read = _read_quotes(df, quote).withColumn("_at", at)
+    return _place(_looser_texts(read, text, F.col("_at") == 0), text, pattern_chars)
+
+
 def resolve(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Claims (key, quote, …) against documents (key, text[, pages]) → one outcome per claim.
 
-    The text travels to its claims once and is dropped as soon as they are placed. A claim
-    whose document is unknown is reported as not found.
+    Claims are nested per document in bounded bundles, so a text is shuffled once, its looser
+    forms are derived once per bundle (and only if some claim of it is not verbatim), and the
+    text is dropped as soon as its claims are placed. A claim whose document is unknown is
+    reported as not found.
     """
     pages = F.col("pages") if "pages" in docs.columns else F.lit(None)
     pages = pages.cast("array<struct<page_number:int,char_start:int,char_end:int>>")
     sources = docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.alias("_pages"))
-    placed = attach(claims, sources, [key], "left").withColumn(
-        "_text", F.coalesce(F.col("_text"), F.lit(""))
+    bundles = attach_bundles(_read_quotes(claims, "quote"), sources, key, "_claims")
+    fields = [c for c in claims.columns if c != key] + ["_q", "_why"]
+    searched = bundles.withColumn("_text", F.coalesce(F.col("_text"), F.lit(""))).withColumn(
+        "_claims",
+        F.transform(
+            "_claims",
+            lambda c: F.struct(
+                *[c[f].alias(f) for f in fields],
+                F.when(c["_why"].isNull(), F.instr(F.col("_text"), c["_q"])).alias("_at"),
+            ),
+        ),
     )
-    return (
-        locate_quotes(placed, "_text")
-        .withColumn(
-            "page",
-            F.when(F.col("reason").isNull(), page_of(F.col("_pages"), F.col("char_start"))),
-        )
-        .drop("_text", "_pages")
+    derived = _looser_texts(searched, "_text", F.exists("_claims", lambda c: c["_at"] == 0))
+    rows = derived.select(key, "_text", "_pages", "_plain", "_st", "_ct", F.inline("_claims"))
+    placed = _place(rows, "_text", PATTERN_CHARS).withColumn(
+        "page", F.when(F.col("reason").isNull(), page_of(F.col("_pages"), F.col("char_start")))
     )
+    return placed.drop("_text", "_pages")
 
 
 def split_outcomes(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:

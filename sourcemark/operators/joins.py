@@ -1,4 +1,4 @@
-"""A many-to-one join in which one key may hold any share of the rows."""
+"""Many-to-one joins in which one key may hold any share of the rows."""
 
 from __future__ import annotations
 
@@ -7,31 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than one row in HOT_SHARE (and at least HOT_ROWS rows), so
-# there are never more than HOT_SHARE hot keys and never more than 2 * HOT_SHARE copies.
-HOT_SHARE = 1000
-HOT_ROWS = 10_000
+# A key is hot when it holds more than one row in HOT_SHARE (and more than HOT_ROWS rows), so
+# there are never more than HOT_SHARE hot keys: a list small enough to broadcast.
+HOT_SHARE = 100_000
+HOT_ROWS = 1_000
 
 
-def attach(
-    many: DataFrame,
-    one: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    hot_share: int = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join each row of ``many`` to its single row of ``one``.
-
-    Rows of a hot key are dealt over several salts (by a hash of the row, so a retried task
-    deals them the same way) and the matching row of ``one`` is copied
-    once per salt. The list of hot keys is broadcast: it has at most ``hot_share`` rows.
+def _deal(
+    many: DataFrame, one: DataFrame, on: list[str], hot_share: int, hot_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: rows of a hot key are dealt over salts of at most about
+    ``limit`` rows, and the matching row of ``one`` is copied once per salt. Dealing goes by a
+    hash of the row, so a retried task deals the same way.
     """
-    on = list(on)
-    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     limit = max(hot_rows, many.count() // hot_share)
-    hot = counts.where(F.col("_rows") > limit).select(
-        *on, F.ceil(F.col("_rows") / limit).cast("int").alias("_copies")
+    hot = (
+        many.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > limit)
+        .select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_copies"))
     )
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     dealt = (
@@ -44,4 +38,44 @@ def attach(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
         .drop("_copies")
     )
+    return dealt, copied
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def attach(
+    many: DataFrame,
+    one: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    hot_share: int = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join each row of ``many`` to its single row of ``one``."""
+    dealt, copied = _deal(many, one, list(on), hot_share, hot_rows)
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
+def attach_bundles(
+    many: DataFrame,
+    one: DataFrame,
+    key: str,
+    name: str,
+    hot_share: int = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Rows of ``one`` with the rows of ``many`` that name them, nested as ``name``.
+
+    A key with many rows gives several bundles, so no array outgrows the limit by much. The
+    work per byte is high, so both sides are spread over all shuffle partitions explicitly
+    instead of being coalesced by size; the aggregate and the join reuse that partitioning.
+    """
+    dealt, copied = _deal(many, one, [key], hot_share, hot_rows)
+    count, by = _partitions(many), [key, "_salt"]
+    rest = [c for c in many.columns if c != key]
+    bundles = (
+        dealt.repartition(count, *by).groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias(name))
+    )
+    return bundles.join(copied.repartition(count, *by), by, "left").drop("_salt")
