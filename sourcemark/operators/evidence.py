@@ -230,25 +230,34 @@ def claim_rate(dropped: Column, total: Column) -> Column:
     )
 
 
-def evidence_stats(
-    resolved: DataFrame, by: Sequence[str], every: DataFrame | None = None
-) -> DataFrame:
-    """Counters per group; groups of ``every`` without a claim are reported as zeros."""
-    counted = resolved.groupBy(*by).agg(
-        F.count_if(F.col("reason").isNull()).alias("verified"),
-        F.count_if(F.col("reason").isNotNull()).alias("dropped"),
+def counters() -> list[Column]:
+    """Aggregates over resolved claims; :func:`stats_of` reads them."""
+    return [
+        F.count_if(F.col("reason").isNull()).alias("_verified"),
+        F.count_if(F.col("reason").isNotNull()).alias("_dropped"),
         *_tally("match_kind", MATCH_KINDS),
         *_tally("reason", REJECT_REASONS),
-    )
-    if every is not None:
-        counted = every.select(*by).distinct().join(counted, list(by), "left")
-    verified, dropped = (F.coalesce(F.col(c), F.lit(0)) for c in ("verified", "dropped"))
-    return counted.select(
-        *by,
+    ]
+
+
+def stats_of() -> list[Column]:
+    """The reported counters, zero where a group had no claim."""
+    verified, dropped = (F.coalesce(F.col(c), F.lit(0)) for c in ("_verified", "_dropped"))
+    return [
         verified.alias("verified"),
         dropped.alias("dropped"),
         (verified + dropped).alias("total_claims"),
         _as_map(MATCH_KINDS).alias("by_match_kind"),
         _as_map(REJECT_REASONS).alias("by_reject_reason"),
         claim_rate(dropped, verified + dropped).alias("hallucination_rate"),
-    )
+    ]
+
+
+def evidence_stats(
+    resolved: DataFrame, by: Sequence[str], every: DataFrame | None = None
+) -> DataFrame:
+    """Counters per group; groups of ``every`` without a claim are reported as zeros."""
+    counted = resolved.groupBy(*by).agg(*counters())
+    if every is not None:
+        counted = every.select(*by).distinct().join(counted, list(by), "left")
+    return counted.select(*by, *stats_of())

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourcemark.session import settle
+
 # A key is hot when it holds more than one row in HOT_SHARE (and more than HOT_ROWS rows), so
 # there are never more than HOT_SHARE hot keys: a list small enough to broadcast.
 HOT_SHARE = 100_000
@@ -15,17 +17,21 @@ HOT_ROWS = 1_000
 
 def _deal(
     many: DataFrame, one: DataFrame, on: list[str], hot_share: int, hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``_salt``: rows of a hot key are dealt over salts of at most about
-    ``limit`` rows, and the matching row of ``one`` is copied once per salt. Dealing goes by a
-    hash of the row, so a retried task deals the same way.
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns to join on.
+
+    Without hot keys the sides come back as they are. Otherwise rows of a hot key are dealt
+    over salts of at most about ``limit`` rows, and the matching row of ``one`` is copied once
+    per salt. Dealing goes by a hash of the row, so a retried task deals the same way.
     """
-    limit = max(hot_rows, many.count() // hot_share)
-    hot = (
-        many.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_copies"))
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    large = settle(counts.where(F.col("_rows") > hot_rows))
+    in_large = large.agg(F.sum("_rows")).first()[0]
+    if in_large is None:
+        return many, one, on
+    limit = max(hot_rows, in_large // hot_share)
+    hot = large.where(F.col("_rows") > limit).select(
+        *on, F.ceil(F.col("_rows") / limit).cast("int").alias("_copies")
     )
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     dealt = (
@@ -38,7 +44,7 @@ def _deal(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
         .drop("_copies")
     )
-    return dealt, copied
+    return dealt, copied, [*on, "_salt"]
 
 
 def _partitions(df: DataFrame) -> int:
@@ -54,8 +60,8 @@ def attach(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join each row of ``many`` to its single row of ``one``."""
-    dealt, copied = _deal(many, one, list(on), hot_share, hot_rows)
-    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+    dealt, copied, by = _deal(many, one, list(on), hot_share, hot_rows)
+    return dealt.join(copied, by, how).drop("_salt")
 
 
 def attach_bundles(
@@ -72,8 +78,8 @@ def attach_bundles(
     work per byte is high, so both sides are spread over all shuffle partitions explicitly
     instead of being coalesced by size; the aggregate and the join reuse that partitioning.
     """
-    dealt, copied = _deal(many, one, [key], hot_share, hot_rows)
-    count, by = _partitions(many), [key, "_salt"]
+    dealt, copied, by = _deal(many, one, [key], hot_share, hot_rows)
+    count = _partitions(many)
     rest = [c for c in many.columns if c != key]
     bundles = (
         dealt.repartition(count, *by).groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias(name))

@@ -76,53 +76,53 @@ def flatten_profile(raw: DataFrame) -> DataFrame:
 def verified_profile(raw: DataFrame, docs: DataFrame) -> DataFrame:
     """The profile with only what the document backs, plus what was dropped and the counters."""
     resolved = ev.resolve(flatten_profile(raw), docs)
-    kept = F.col("reason").isNull()
+    span = F.when(F.col("reason").isNull(), ev.span_of())
     outcomes = resolved.groupBy("doc_id").agg(
-        F.map_from_entries(
-            F.collect_list(F.when(kept, F.struct(F.col("field"), ev.span_of().alias("span"))))
-        ).alias("_spans"),
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.when(~kept, F.struct("claim_no", "field", "value", "quote", "reason")))
-            ),
-            lambda d: F.struct(d["field"].alias("field"), d["value"].alias("value"), d["quote"].alias("quote"), d["reason"].alias("reason")),
-        ).alias("_dropped"),
-    )
-    stats = ev.evidence_stats(resolved, ["doc_id"])
-    joined = raw.join(outcomes, "doc_id", "left").join(
-        stats.select("doc_id", F.struct(*[c for c in stats.columns if c != "doc_id"]).alias("_stats")),
-        "doc_id",
-        "left",
+        F.array_sort(
+            F.collect_list(F.struct("claim_no", span.alias("span"), "field", "value", "quote", "reason"))
+        ).alias("_claims"),
+        *ev.counters(),
     )
+    joined = raw.join(outcomes, "doc_id", "left")
+
+    # Claims are numbered in field order, so each field knows where its own begin. Kept as
+    # columns: inside a lambda, a name would mean the output field of the same name.
+    at = F.lit(0)
+    stated = F.coalesce(F.col("seniority"), F.lit(UNKNOWN)) != UNKNOWN
+    for field in ("full_name", "headline", "years_experience", "seniority", "skills", "experiences", "education"):
+        joined = joined.withColumn(f"_at_{field}", at)
+        if field == "seniority":
+            at = at + stated.cast("int")
+        elif field in ("skills", "experiences"):
+            at = at + F.coalesce(F.size(field), F.lit(0))
+        else:
+            at = at + F.col(field).isNotNull().cast("int")
+
+    def span_at(position: Column) -> Column:
+        return F.get("_claims", position)["span"]
 
     def single(field: str) -> Column:
-        span = F.col("_spans")[F.lit(field)]
+        found = F.when(F.col(field).isNotNull(), span_at(F.col(f"_at_{field}")))
         return F.when(
-            span.isNotNull(), F.struct(F.col(field)["value"].alias("value"), span.alias("evidence"))
+            found.isNotNull(), F.struct(F.col(field)["value"].alias("value"), found.alias("evidence"))
         ).alias(field)
 
     def several(field: str, names: Sequence[tuple[str, str]]) -> Column:
         items = F.transform(
             F.col(field),
-            lambda item, at: F.struct(
+            lambda item, nth: F.struct(
                 *[item[source].alias(name) for source, name in names],
-                F.col("_spans")[
-                    F.concat(F.lit(f"{field}["), at.cast("string"), F.lit("]"))
-                ].alias("evidence"),
+                span_at(F.col(f"_at_{field}") + nth).alias("evidence"),
             ),
         )
         return F.filter(items, lambda item: item["evidence"].isNotNull()).alias(field)
 
-    level = F.col("_spans")[F.lit("seniority")]
-    no_drops = F.array().cast("array<struct<field:string,value:string,quote:string,reason:string>>")
-    no_stats = F.struct(
-        F.lit(0).cast("bigint").alias("verified"),
-        F.lit(0).cast("bigint").alias("dropped"),
-        F.lit(0).cast("bigint").alias("total_claims"),
-        F.create_map().cast("map<string,bigint>").alias("by_match_kind"),
-        F.create_map().cast("map<string,bigint>").alias("by_reject_reason"),
-        F.lit(0.0).alias("hallucination_rate"),
+    level = F.when(stated, span_at(F.col("_at_seniority")))
+    lost = F.transform(
+        F.filter("_claims", lambda c: c["reason"].isNotNull()),
+        lambda c: F.struct(*[c[f].alias(f) for f in ("field", "value", "quote", "reason")]),
     )
+    no_drops = F.array().cast("array<struct<field:string,value:string,quote:string,reason:string>>")
     return joined.select(
         "doc_id",
         single("full_name"),
@@ -133,8 +133,8 @@ def verified_profile(raw: DataFrame, docs: DataFrame) -> DataFrame:
         several("skills", [("name", "value")]),
         several("experiences", [(n, n) for n in ("company", "title", "start", "end")]),
         several("education", [(n, n) for n in ("institution", "credential")]),
-        F.coalesce(F.col("_dropped"), no_drops).alias("dropped"),
-        F.coalesce(F.col("_stats"), no_stats).alias("stats"),
+        F.coalesce(lost, no_drops).alias("dropped"),
+        F.struct(*ev.stats_of()).alias("stats"),
     )
 
 

@@ -41,71 +41,93 @@ def _heading_map(headings: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(part) for pair in headings.items() for part in pair])
 
 
-def sectionize(docs: DataFrame, headings: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, line_no, section, line: non-empty stripped lines under the last heading seen.
-
-    The headings of a document are picked out once; each line then looks up the last one
-    before it in that short array.
-    """
-    names = _heading_map(HEADINGS if headings is None else headings)
+def _read_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, _lines (stripped, non-empty) and _folded, the same lines case-folded."""
     kept = F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda line: line != "")
-    folded = (
-        docs.select("doc_id", kept.alias("_lines"))
-        # Fold all lines in one pass over the joined text: no line holds a newline, no fold adds one.
-        .withColumn("_folded", F.split(tx.casefold(F.array_join("_lines", "\n")), "\n", -1))
+    # Fold all lines in one pass over the joined text: no line holds a newline, no fold adds one.
+    return docs.select("doc_id", kept.alias("_lines")).withColumn(
+        "_folded", F.split(tx.casefold(F.array_join("_lines", "\n")), "\n", -1)
     )
+
+
+def _parts(docs: DataFrame, headings: dict[str, str] | None) -> DataFrame:
+    """doc_id, _parts: consecutive stretches of lines, each under the heading before it."""
+    names = _heading_map(HEADINGS if headings is None else headings)
     opened = F.filter(
-        F.transform("_folded", lambda line, at: F.struct(at.alias("at"), F.element_at(names, line).alias("name"))),
+        F.transform(
+            "_folded", lambda line, at: F.struct(at.alias("at"), F.element_at(names, line).alias("name"))
+        ),
         lambda h: h["name"].isNotNull(),
     )
-    return (
-        folded.withColumn("_open", opened)
-        .select("doc_id", "_open", F.posexplode("_lines").alias("line_no", "line"))
-        .withColumn("_seen", F.filter("_open", lambda h: h["at"] <= F.col("line_no")))
-        .withColumn("_last", F.get("_seen", F.size("_seen") - 1))
-        .where(F.col("_last").isNull() | (F.col("_last.at") != F.col("line_no")))
-        .select(
-            "doc_id",
-            "line_no",
-            F.coalesce(F.col("_last.name"), F.lit(PREAMBLE)).alias("section"),
-            "line",
+    top = F.array(F.struct(F.lit(-1).alias("at"), F.lit(PREAMBLE).alias("name")))
+    end = F.size("_lines")
+
+    def stretch(h: Column, nth: Column) -> Column:
+        stop = F.coalesce(F.get("_open", nth + 1)["at"], end)
+        return F.struct(
+            h["name"].alias("section"),
+            (h["at"] + 1).alias("base"),
+            F.slice("_lines", h["at"] + 2, stop - h["at"] - 1).alias("lines"),
         )
+
+    return (
+        _read_lines(docs)
+        .withColumn("_open", F.concat(top, opened))
+        .select("doc_id", F.transform("_open", stretch).alias("_parts"))
+    )
+
+
+def _section(name: str) -> Column:
+    chosen = F.filter("_parts", lambda p: p["section"] == name)
+    return F.flatten(F.transform(chosen, lambda p: p["lines"]))
+
+
+def sectionize(docs: DataFrame, headings: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, line_no, section, line: non-empty stripped lines under the last heading seen."""
+    return (
+        _parts(docs, headings)
+        .select("doc_id", F.inline("_parts"))
+        .select("doc_id", "section", "base", F.posexplode("lines").alias("_nth", "line"))
+        .select("doc_id", (F.col("base") + F.col("_nth")).alias("line_no"), "section", "line")
     )
 
 
+def _skill_parts(line: Column) -> Column:
+    return F.filter(F.transform(F.split(line, SKILL_SEPARATOR, -1), tx.strip), lambda part: part != "")
+
+
+def _role(line: Column) -> Column:
+    names = ("company", "title", "start", "end")
+    groups = [tx.strip(F.regexp_extract(line, ROLE_LINE, n)).alias(name) for n, name in enumerate(names, 1)]
+    return F.struct(*groups, line.alias("quote"))
+
+
+def _entry(line: Column) -> Column:
+    names = ("institution", "credential")
+    groups = [tx.strip(F.regexp_extract(line, EDUCATION_LINE, n)).alias(name) for n, name in enumerate(names, 1)]
+    return F.struct(*groups, line.alias("quote"))
+
+
 def skills(lines: DataFrame) -> DataFrame:
     """Listed skills in reading order."""
-    parts = F.filter(
-        F.transform(F.split("line", SKILL_SEPARATOR, -1), tx.strip), lambda part: part != ""
-    )
     return lines.where(F.col("section") == "skills").select(
-        "doc_id", "line_no", F.posexplode(parts).alias("part_no", "skill")
+        "doc_id", "line_no", F.posexplode(_skill_parts(F.col("line"))).alias("part_no", "skill")
     )
 
 
 def roles(lines: DataFrame, section: str = "experience") -> DataFrame:
     """Lines shaped like a role: company, title, start and end."""
-    group = lambda n: tx.strip(F.regexp_extract("line", ROLE_LINE, n))
-    return lines.where((F.col("section") == section) & F.col("line").rlike(ROLE_LINE)).select(
-        "doc_id",
-        "line_no",
-        group(1).alias("company"),
-        group(2).alias("title"),
-        group(3).alias("start"),
-        group(4).alias("end"),
-        F.col("line").alias("quote"),
+    shaped = lines.where((F.col("section") == section) & F.col("line").rlike(ROLE_LINE))
+    return shaped.select("doc_id", "line_no", _role(F.col("line")).alias("_r")).select(
+        "doc_id", "line_no", "_r.*"
     )
 
 
 def education(lines: DataFrame, section: str = "education") -> DataFrame:
     """Lines shaped like an education entry: institution and credential."""
-    group = lambda n: tx.strip(F.regexp_extract("line", EDUCATION_LINE, n))
-    return lines.where((F.col("section") == section) & F.col("line").rlike(EDUCATION_LINE)).select(
-        "doc_id",
-        "line_no",
-        group(1).alias("institution"),
-        group(2).alias("credential"),
-        F.col("line").alias("quote"),
+    shaped = lines.where((F.col("section") == section) & F.col("line").rlike(EDUCATION_LINE))
+    return shaped.select("doc_id", "line_no", _entry(F.col("line")).alias("_e")).select(
+        "doc_id", "line_no", "_e.*"
     )
 
 
@@ -121,64 +143,40 @@ def seniority(headline: Column) -> Column:
     return F.coalesce(level, F.lit("unknown"))
 
 
-def identity(lines: DataFrame) -> DataFrame:
+def identity(docs: DataFrame, headings: dict[str, str] | None = None) -> DataFrame:
     """Name (first line before any heading), headline (second) and the level it states."""
-    top = lines.where(F.col("section") == PREAMBLE).groupBy("doc_id").agg(
-        F.min(F.struct("line_no", "line")).alias("_first"),
-        # The preamble is the head of the document, so its second line is numbered 1.
-        F.min(F.when(F.col("line_no") == 1, F.col("line"))).alias("headline"),
-    )
+    return _identified(_parts(docs, headings)).select("doc_id", "full_name", "headline", "seniority")
+
+
+def _identified(parts: DataFrame) -> DataFrame:
+    top = F.get("_parts", F.lit(0))["lines"]
     level = F.when(F.col("headline").isNull(), F.lit("unknown")).otherwise(seniority(F.col("headline")))
-    return top.select(
-        "doc_id", F.col("_first.line").alias("full_name"), "headline", level.alias("seniority")
+    return (
+        parts.withColumn("full_name", F.get(top, F.lit(0)))
+        .withColumn("headline", F.get(top, F.lit(1)))
+        .withColumn("seniority", level)
     )
 
 
-def raw_profile(docs: DataFrame) -> DataFrame:
+def raw_profile(docs: DataFrame, headings: dict[str, str] | None = None) -> DataFrame:
     """The rule-based extraction as one raw profile per document, quotes copied from it."""
-    lines = sectionize(docs)
-
-    def listed(df: DataFrame, fields: list[str], order: list[str], name: str) -> DataFrame:
-        return df.groupBy("doc_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(*order, *fields))),
-                lambda item: F.struct(*[item[f].alias(f) for f in fields]),
-            ).alias(name)
-        )
-
-    skilled = skills(lines).select(
-        "doc_id", "line_no", "part_no", F.col("skill").alias("name"), F.col("skill").alias("quote")
-    )
-    joined = (
-        docs.select("doc_id")
-        .join(identity(lines), "doc_id", "left")
-        .join(listed(skilled, ["name", "quote"], ["line_no", "part_no"], "skills"), "doc_id", "left")
-        .join(
-            listed(roles(lines), ["company", "title", "start", "end", "quote"], ["line_no"], "experiences"),
-            "doc_id",
-            "left",
-        )
-        .join(
-            listed(education(lines), ["institution", "credential", "quote"], ["line_no"], "education"),
-            "doc_id",
-            "left",
-        )
-    )
+    named = lambda part: F.struct(part.alias("name"), part.alias("quote"))
+    listed = F.flatten(F.transform(_section("skills"), _skill_parts))
+    experience = F.filter(_section("experience"), lambda line: line.rlike(ROLE_LINE))
+    studied = F.filter(_section("education"), lambda line: line.rlike(EDUCATION_LINE))
     claim = lambda c: F.when(
         F.col(c).isNotNull(), F.struct(F.col(c).alias("value"), F.col(c).alias("quote"))
     ).alias(c)
-    level = F.coalesce(F.col("seniority"), F.lit("unknown"))
-    return joined.select(
+    return _identified(_parts(docs, headings)).select(
         "doc_id",
         claim("full_name"),
         claim("headline"),
         F.lit(None).cast("struct<value:string,quote:string>").alias("years_experience"),
-        level.alias("seniority"),
-        F.when(level != "unknown", F.col("headline")).otherwise("").alias("seniority_quote"),
-        *[
-            F.coalesce(F.col(c), F.array().cast(joined.schema[c].dataType)).alias(c)
-            for c in ("skills", "experiences", "education")
-        ],
+        "seniority",
+        F.when(F.col("seniority") != "unknown", F.col("headline")).otherwise("").alias("seniority_quote"),
+        F.transform(listed, named).alias("skills"),
+        F.transform(experience, _role).alias("experiences"),
+        F.transform(studied, _entry).alias("education"),
     )
 
 
@@ -188,10 +186,7 @@ def line_match(asked: DataFrame, docs: DataFrame) -> DataFrame:
     ``asked`` names the document each label is put to, so this is an equi-join on doc_id; the
     whole line becomes the quote. Labels found nowhere give no row.
     """
-    kept = F.filter(F.transform(tx.lines(F.col("text")), tx.strip), lambda line: line != "")
-    ready = docs.select("doc_id", kept.alias("_lines")).withColumn(
-        "_folded", F.split(tx.casefold(F.array_join("_lines", "\n")), "\n", -1)
-    )
+    ready = _read_lines(docs)
     joined = attach(asked.withColumn("_needle", tx.casefold(F.col("label"))), ready, ["doc_id"], "inner")
     at = F.array_position(F.transform("_folded", lambda line: F.contains(line, F.col("_needle"))), True)
     return (
