@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemark.functions import text as tx
+from sourcemark.operators.ordered import number_within
 
 # Accepted suffixes with the bytes such a file starts with, and the size limit.
 MAGIC = {".pdf": "255044462D", ".docx": "504B0304"}
@@ -84,17 +85,18 @@ def purge_expired(rows: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
 def check_requirements(rows: DataFrame) -> DataFrame:
     """Requirement rows with ``reason``; null = accepted. Blank labels are dropped first.
 
-    ``nth`` counts the non-blank requirements of a job in position order: the limit refuses
-    the rows beyond it. Refused rows are returned like the others.
+    ``nth`` counts the non-blank requirements of a job in position order (null for blank
+    ones): the limit refuses the rows beyond it. Refused rows are returned like the others.
     """
     blank = tx.strip(F.coalesce(F.col("label"), F.lit(""))) == ""
-    in_order = Window.partitionBy("job_id").orderBy("position", "id")
-    nth = F.sum(F.when(blank, 0).otherwise(1)).over(in_order)
-    reason = (
-        F.when(F.col("_blank"), "blank_label")
-        .when(F.char_length("label") > MAX_LABEL, "label_too_long")
+    labelled = number_within(rows.where(~blank), ["job_id"], [F.col("position"), F.col("id")], "nth")
+    refused = labelled.withColumn(
+        "reason",
+        F.when(F.char_length("label") > MAX_LABEL, "label_too_long")
         .when(F.char_length("detail") > MAX_DETAIL, "detail_too_long")
         .when(~F.coalesce((F.col("weight") > 0) & (F.col("weight") <= MAX_WEIGHT), F.lit(False)), "bad_weight")
-        .when(F.col("nth") > MAX_REQUIREMENTS, "too_many")
+        .when(F.col("nth") > MAX_REQUIREMENTS, "too_many"),
+    )
+    return refused.unionByName(
+        rows.where(blank).withColumn("reason", F.lit("blank_label")), allowMissingColumns=True
     )
-    return rows.withColumn("_blank", blank).withColumn("nth", nth).withColumn("reason", reason).drop("_blank")
