@@ -5,37 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How near a tie a scaled fraction must be before the stored bits are looked at.
+_NEAR = 1e-6
+
 
 def round_exact(value: Column, digits: int) -> Column:
     """Round to ``digits`` places, half to even, judging the *stored binary* value.
 
     ``bround`` rounds the shortest decimal spelling, so 0.00625 (stored a little above the
-    tie) goes down there and up here. The fraction is scaled by a power of two, which is
-    exact, and compared with the tie in whole numbers.
+    tie) goes down there and up here. Only values next to a tie take the careful branches.
     """
+    scale = 10**digits
     magnitude = F.abs(value)
     whole = F.floor(magnitude)
     fraction = magnitude - whole
-    scale = 10**digits
-
-    def rounded(bits: int) -> Column:
-        """Exact while every mantissa bit of the fraction is worth at least 2**-bits."""
-        scaled = (fraction * F.lit(2.0**bits)).cast("bigint").cast("decimal(19,0)")
-        shifted = scaled * F.lit(scale).cast("decimal(8,0)")
-        unit = F.lit(str(2**bits)).cast("decimal(25,0)")
-        rest = shifted % unit
-        units = ((shifted - rest) / unit).cast("bigint")
-        up = (rest * 2 > unit) | ((rest * 2 == unit) & (units % 2 == 1))
-        return (whole * scale + units + up.cast("bigint")) / F.lit(float(scale))
-
-    result = (
-        F.when(fraction >= 2.0**-9, rounded(62))
-        .when(fraction >= 2.0**-18, rounded(71))
-        .otherwise(rounded(80))
+    scaled = fraction * F.lit(float(scale))
+    low = F.floor(scaled)
+    tie = (low + F.lit(0.5)) / F.lit(float(scale))
+    up = (
+        F.when(F.abs(scaled - low - 0.5) > _NEAR, scaled - low > 0.5)
+        .when(fraction != tie, fraction > tie)
+        # The tie is a binary fraction, so it is stored exactly: half to even.
+        .when((low * 2 + 1) % 5**digits == 0, low % 2 == 1)
+        .otherwise(_above_tie(fraction, low, scale))
     )
+    result = (whole * scale + low + up.cast("bigint")) / F.lit(float(scale))
     return F.signum(value) * result
 
 
+def _above_tie(fraction: Column, low: Column, scale: int) -> Column:
+    """Whether the stored fraction lies above (low + 1/2) / scale, in whole numbers.
+
+    Scaling by a power of two is exact; the power is chosen so that no mantissa bit is lost.
+    """
+
+    def above(bits: int) -> Column:
+        stored = (fraction * F.lit(2.0**bits)).cast("bigint").cast("decimal(19,0)")
+        unit = F.lit(str(2**bits)).cast("decimal(25,0)")
+        return stored * F.lit(2 * scale).cast("decimal(9,0)") > unit * (low * 2 + 1).cast("decimal(9,0)")
+
+    return F.when(fraction >= 2.0**-9, above(62)).when(fraction >= 2.0**-18, above(71)).otherwise(above(80))
+
+
 def rate(part: Column, total: Column) -> Column:
     """part / total, null when there is nothing to divide by."""
     return F.try_divide(part.cast("double"), total.cast("double"))

@@ -321,10 +321,10 @@ def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATUS_FEED = """
-WITH r AS (SELECT user_id AS id, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000 AS at, event_id, event_type || (event_id % 2) AS payload,
+WITH r AS (SELECT user_id AS id, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000 AS read_at, event_id, event_type || (event_id % 2) AS payload,
   CASE WHEN event_type = 'signup' AND event_id % 50 = 0 THEN NULL WHEN event_type = 'error' AND event_id % 20 = 0 THEN 'failed' WHEN event_type = 'view' THEN 'pending' ELSE 'processing' END AS status FROM events),
-s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at, event_id) - 1 AS seq, min(at) OVER (PARTITION BY id) AS began FROM r),
-c AS (SELECT *, CASE WHEN status IS NULL THEN 'gone' WHEN status = 'failed' THEN 'done' WHEN at >= began + 300000000 THEN 'timeout' END AS closing FROM s),
+s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY read_at, event_id) - 1 AS seq, min(read_at) OVER (PARTITION BY id) AS began FROM r),
+c AS (SELECT *, CASE WHEN status IS NULL THEN 'gone' WHEN status = 'failed' THEN 'done' WHEN read_at >= began + 300000000 THEN 'timeout' END AS closing FROM s),
 l AS (SELECT *, min(seq) FILTER (closing IS NOT NULL) OVER (PARTITION BY id) AS stop FROM c),
 k AS (SELECT *, lag(payload) OVER (PARTITION BY id ORDER BY seq) AS before FROM l WHERE stop IS NULL OR seq <= stop)
 SELECT id, seq, payload, 'status' AS frame FROM k WHERE status IS NOT NULL AND payload IS DISTINCT FROM before
