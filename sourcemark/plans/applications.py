@@ -109,7 +109,7 @@ PLAN_MOVES = f"""WITH {_REQUESTS_SQL}, p AS (SELECT *, {_why("state")} AS why FR
 SELECT request_id, state, to_state, mover, nullif(trim(reason), '') AS reason, why IS NULL AS allowed, why FROM p"""
 
 
-def _moves(events: DataFrame) -> DataFrame:
+def moves(events: DataFrame) -> DataFrame:
     """Requests that mostly keep an application moving: rejections rarely carry a reason."""
     e = F.col("event_id")
     kind = F.col("event_type")
@@ -139,7 +139,7 @@ def _applications(events: DataFrame) -> DataFrame:
 
 def apply_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return lc.apply_moves(_moves(events), _applications(events), ["ts", "request_id"]).select(
+    return lc.apply_moves(moves(events), _applications(events), ["ts", "request_id"]).select(
         "request_id", "application_id", "seq", "from_state", "to_state", "allowed", "position"
     )
 

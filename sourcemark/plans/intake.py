@@ -295,8 +295,8 @@ _SPEED = 5000
 _EPOCH = 1704067200000000
 
 
-def readings(events: DataFrame) -> DataFrame:
-    """A user's events as successive readings of one row's status."""
+def reading_rows(events: DataFrame) -> DataFrame:
+    """A user's events as readings of one row's status: id, at, event_id, status, payload."""
     kind, e = F.col("event_type"), F.col("event_id")
     status = (
         F.when((kind == "signup") & (e % 50 == 0), F.lit(None))
@@ -304,20 +304,20 @@ def readings(events: DataFrame) -> DataFrame:
         .when(kind == "view", "pending")
         .otherwise("processing")
     )
-    at = F.timestamp_micros((F.lit(_EPOCH) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - _EPOCH) / _SPEED)).cast("bigint"))
-    return number_within(
-        events.select(
-            F.col("user_id").alias("id"), at.alias("at"), "event_id", status.alias("status"), F.concat(kind, (e % 2).cast("string")).alias("payload")
-        ),
-        ["id"],
-        [F.col("at"), F.col("event_id")],
-        "seq",
-        start=0,
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - _EPOCH
+    return events.select(
+        F.col("user_id").alias("id"),
+        F.timestamp_micros((F.lit(_EPOCH) + F.floor(micros / _SPEED)).cast("bigint")).alias("at"),
+        "event_id",
+        status.alias("status"),
+        F.concat(kind, (e % 2).cast("string")).alias("payload"),
     )
 
 
 def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wt.status_feed(readings(table(spark, sf_dir, "events"))).select("id", "seq", "payload", "frame")
+    rows = reading_rows(table(spark, sf_dir, "events"))
+    numbered = number_within(rows, ["id"], [F.col("at"), F.col("event_id")], "seq", start=0)
+    return wt.status_feed(numbered).select("id", "seq", "payload", "frame")
 
 
 STATUS_FEED = """
