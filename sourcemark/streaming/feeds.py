@@ -171,5 +171,4 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a stream, with the schema of the stored one."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
