@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # The code points Unicode calls white space: those below U+0100 as a regex class
 # (a table lookup for the matcher), the others as characters.
 WHITESPACE = r"[\s\x1c-\x1f\x85\xa0]"
+NARROW_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
 WIDE_SPACES = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
@@ -61,8 +62,7 @@ def plain_spaces(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    space = f"(?:{WHITESPACE}|[{WIDE_SPACES}])"
-    return F.regexp_replace(text, rf"\A{space}+|{space}+\z", "")
+    return F.btrim(text, F.lit(NARROW_SPACES + WIDE_SPACES))
 
 
 def squeeze(text: Column) -> Column:

@@ -59,9 +59,12 @@ def attach(
     hot_share: int = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join each row of ``many`` to its single row of ``one``."""
+    """Join each row of ``many`` to its single row of ``one`` (a document: heavy work per byte,
+    so both sides are spread over all shuffle partitions instead of being coalesced by size).
+    """
     dealt, copied, by = _deal(many, one, list(on), hot_share, hot_rows)
-    return dealt.join(copied, by, how).drop("_salt")
+    count = _partitions(many)
+    return dealt.repartition(count, *by).join(copied.repartition(count, *by), by, how).drop("_salt")
 
 
 def attach_bundles(
@@ -74,9 +77,8 @@ def attach_bundles(
 ) -> DataFrame:
     """Rows of ``one`` with the rows of ``many`` that name them, nested as ``name``.
 
-    A key with many rows gives several bundles, so no array outgrows the limit by much. The
-    work per byte is high, so both sides are spread over all shuffle partitions explicitly
-    instead of being coalesced by size; the aggregate and the join reuse that partitioning.
+    A key with many rows gives several bundles, so no array outgrows the limit by much. Both
+    sides are spread as in :func:`attach`; the aggregate and the join reuse that partitioning.
     """
     dealt, copied, by = _deal(many, one, [key], hot_share, hot_rows)
     count = _partitions(many)

@@ -9,6 +9,7 @@ from sourcemark.operators import evidence as ev
 from sourcemark.operators import profiles as pf
 from sourcemark.operators import sections as sec
 from sourcemark.plans.common import DataFrame, SparkSession, sql_round, table
+from sourcemark.session import settle
 
 
 def _line_pages(docs: DataFrame) -> DataFrame:
@@ -356,7 +357,8 @@ def extract_and_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule-based extraction of every document, then verification of what it quoted."""
     text = F.concat(F.lit("Person\nSenior "), F.regexp_replace("text", r" (the|of|la|die) ", "\nskills\n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    return pf.verified_profile(sec.raw_profile(docs), docs).select(
+    # The extraction is recorded before it is verified.
+    return pf.verified_profile(settle(sec.raw_profile(docs)), docs).select(
         "doc_id",
         F.col("full_name.value").alias("full_name"),
         "seniority",

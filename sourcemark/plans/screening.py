@@ -10,6 +10,7 @@ from sourcemark.operators import ranking as rk
 from sourcemark.operators import retrieval as rt
 from sourcemark.operators import sections as sec
 from sourcemark.plans.common import DataFrame, SparkSession, sql_round, table
+from sourcemark.session import settle
 
 PROMPT = "judge-v1"
 
@@ -91,7 +92,8 @@ def _answers(spark: SparkSession, sf_dir: str):
         "doc_id",
         F.concat(F.coalesce(F.col("_found"), F.array().cast("array<struct<requirement:int,quotes:array<string>>>")), extra).alias("matches"),
     )
-    return raw, jd.requirement_specs(requirements), docs
+    # Answers are recorded before they are judged.
+    return settle(raw), jd.requirement_specs(requirements), docs
 
 
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a scan with fewer splits than the session has cores.
+
+    A large table has more splits than that and is left alone; a single small file would
+    otherwise keep all the work done on its rows in one task.
+    """
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourcemark.session import spread
+
 # The entity tables and their columns (times are UTC timestamps).
 _PAGE_SPANS = "array<struct<page_number:int,char_start:int,char_end:int>>"
 _GEOMETRY = (
@@ -94,6 +96,11 @@ def outside_vocabulary(df: DataFrame, column: str, vocabulary: str) -> DataFrame
     return df.where(~F.coalesce(F.col(column).isin(*VOCABULARIES[vocabulary]), F.lit(False)))
 
 
+# Tables whose rows hold whole texts, with the key their rows are dealt by.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the benchmark tables the registered queries run on."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
