@@ -87,3 +87,13 @@ def attach_bundles(
         dealt.repartition(count, *by).groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias(name))
     )
     return bundles.join(copied.repartition(count, *by), by, "left").drop("_salt")
+
+
+# Narrow rows a broadcast may hold: some ten megabytes.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written out and counted: broadcast if it is small, joined by shuffle if not."""
+    written = settle(df)
+    return F.broadcast(written) if written.limit(limit + 1).count() <= limit else written

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcemark.functions import text as tx
 from sourcemark.functions.numbers import round_exact
+from sourcemark.operators.joins import small_side
 from sourcemark.operators.ordered import number_within
 from sourcemark.session import settle
 
@@ -25,12 +26,20 @@ def postings(docs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# Terms per block: one bit each in a long.
+BLOCK = 63
+
+
 def term_tokens(terms: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope, term_no, term, tokens_in_term, token); terms without a token are ignored."""
+    """(scope, term_at, term, tokens): terms with a token, numbered from 0 in term order.
+
+    The terms of one request are few (a job has at most 30 requirements), so is the window.
+    """
     folded = terms.select(*scope, "term_no", "term", tx.casefold(tx.nfc(F.col("term"))).alias("_folded"))
-    parts = folded.withColumn("_tokens", F.array_distinct(tx.fold_tokens(F.col("_folded"))))
-    return parts.select(
-        *scope, "term_no", "term", F.size("_tokens").alias("tokens_in_term"), F.explode("_tokens").alias("token")
+    parts = folded.withColumn("tokens", F.array_distinct(tx.fold_tokens(F.col("_folded"))))
+    request = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("term_no")
+    return parts.where(F.size("tokens") > 0).select(
+        *scope, (F.row_number().over(request) - 1).alias("term_at"), "term", "tokens"
     )
 
 
@@ -42,56 +51,72 @@ def doc_freq(posted: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def retrieve(terms: DataFrame, docs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, doc_id, score, matched, place) for every document of the scope.
 
+    A term scores (share of its tokens present) × (mean rarity of those), which is the sum of
+    rarity / tokens-of-the-term over the tokens present; so a token has one weight per
+    request and a document's score is a plain sum, whatever the number of terms sharing it.
+    Sums are decimal: equal documents get equal scores in any order of addition. Which terms
+    hit is a bit per term, or-ed up the same way.
+
     The texts are tokenised once: only tokens some term asks for survive the join, and that
-    thin table is written out because frequencies and scores both read it. Hot tokens are
-    reduced per document before they are shuffled.
+    thin table is written out because frequencies and scores both read it.
     """
     scope = list(scope)
-    asked = term_tokens(terms, scope)
-    wanted = asked.select(*scope, "token").distinct()
+    asked = term_tokens(terms, scope).withColumn("block", F.floor(F.col("term_at") / BLOCK))
+    names = asked.groupBy(*scope, "block").agg(
+        F.array_sort(F.collect_list(F.struct("term_at", "term"))).alias("_names")
+    )
+    exact = lambda column: column.cast("decimal(28,18)")
+    bit = F.expr(f"shiftleft(1L, cast(term_at % {BLOCK} as int))")
+    shares = (
+        asked.select(
+            *scope, "block", bit.alias("_bit"), exact(F.lit(1.0) / F.size("tokens")).alias("_share"), F.explode("tokens").alias("token")
+        )
+        .groupBy(*scope, "token", "block")
+        .agg(F.sum("_share").cast("double").alias("_share"), F.bit_or("_bit").alias("_bits"))
+    )
+    wanted = small_side(shares.select(*scope, "token").distinct())
     hits = settle(postings(docs, scope).join(wanted, [*scope, "token"]))
+    counted = doc_freq(hits, scope)
     if scope:
         totals = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("_total"))
-        weighted = asked.join(doc_freq(hits, scope), [*scope, "token"]).join(totals, scope)
+        counted = counted.join(totals, scope)
     else:
-        weighted = asked.join(doc_freq(hits), ["token"]).withColumn("_total", F.lit(docs.count()))
-    idf = F.log1p(F.col("_total") / (F.lit(1) + F.col("df")))
-    weighted = weighted.select(
-        *scope, "term_no", "term", "tokens_in_term", "token", idf.alias("idf")
-    )
-    # Sums run over sorted values: equal documents must get bit-equal scores to tie.
-    per_term = (
-        hits.join(weighted, [*scope, "token"])
-        .groupBy(*scope, "doc_id", "term_no")
-        .agg(
-            F.array_sort(F.collect_list("idf")).alias("_idf"),
-            F.first("tokens_in_term").alias("_tokens"),
-            F.first("term").alias("term"),
-        )
-        .withColumn(
-            "_part",
-            (F.size("_idf") / F.col("_tokens"))
-            * (F.aggregate("_idf", F.lit(0.0), lambda a, b: a + b) / F.size("_idf")),
-        )
+        counted = counted.withColumn("_total", F.lit(docs.count()))
+    rarity = F.log1p(F.col("_total") / (F.lit(1) + F.col("df")))
+    weights = shares.join(counted, [*scope, "token"]).select(
+        *scope, "token", "block", "_bits", exact(rarity * F.col("_share")).alias("_weight")
     )
-    scored = (
-        per_term.groupBy(*scope, "doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("term_no", "_part", "term"))).alias("_terms"))
-        .select(
-            *scope,
-            "doc_id",
-            F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["_part"]).alias("score"),
-            F.transform("_terms", lambda t: t["term"]).alias("matched"),
-        )
+    # A document's hits sit in one partition, so they are summed before anything is shuffled.
+    # Written out because the ranking and the wording both start from these few numbers.
+    blocks = settle(
+        hits.join(small_side(weights), [*scope, "token"])
+        .groupBy(*scope, "doc_id", "block")
+        .agg(F.sum("_weight").alias("_sum"), F.bit_or("_bits").alias("_bits"))
     )
+    scores = blocks.groupBy(*scope, "doc_id").agg(F.sum("_sum").cast("double").alias("score"))
     everything = (
         docs.select(*scope, "doc_id")
-        .join(scored, [*scope, "doc_id"], "left")
+        .join(scores, [*scope, "doc_id"], "left")
         .withColumn("score", F.coalesce(F.col("score"), F.lit(0.0)))
-        .withColumn("matched", F.coalesce(F.col("matched"), F.array().cast("array<string>")))
     )
     order = [F.col("score").desc(), F.col("doc_id").asc()]
-    return number_within(everything, scope, order, "place")
+    placed = number_within(everything, scope, order, "place")
+    # The terms' wording is long; it joins the rows after they have been placed.
+    found = F.filter("_names", lambda n: F.getbit(F.col("_bits"), (n["term_at"] % BLOCK).cast("int")) == 1)
+    worded = (
+        blocks.join(names, [*scope, "block"])
+        .select(*scope, "doc_id", "block", F.transform(found, lambda n: n["term"]).alias("_terms"))
+        .groupBy(*scope, "doc_id")
+        .agg(
+            F.flatten(
+                F.transform(F.array_sort(F.collect_list(F.struct("block", "_terms"))), lambda b: b["_terms"])
+            ).alias("matched")
+        )
+    )
+    none = F.array().cast("array<string>")
+    return placed.join(worded, [*scope, "doc_id"], "left").select(
+        *scope, "doc_id", "score", F.coalesce(F.col("matched"), none).alias("matched"), "place"
+    )
 
 
 def retrieval_terms(requirements: DataFrame) -> DataFrame:

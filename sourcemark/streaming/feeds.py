@@ -170,5 +170,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a stream, with the schema of the stored one."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # A pattern, because the table may be one file or a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
