@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemark.functions import text as tx
+from sourcemark.operators.joins import attach
 from sourcemark.operators.ordered import number_within
 
 # Accepted suffixes with the bytes such a file starts with, and the size limit.
@@ -71,7 +72,8 @@ def dedupe_uploads(
         .withColumn("kept_id", F.coalesce(F.col("kept_id"), F.col("_first")))
         .select(*key, "kept_id")
     )
-    answered = uploads.join(winners, key)
+    # Every copy is matched with its winner; copies of one file are dealt over many tasks.
+    answered = attach(uploads, winners, key, "inner")
     kept = answered.where(F.col("upload_id") == F.col("kept_id")).drop("kept_id")
     return kept, answered.where(F.col("upload_id") != F.col("kept_id"))
 

@@ -40,6 +40,17 @@ FOLLOWED = {
     "failed": ("applied", "the screening could not be produced"),
     "dead_lettered": ("applied", "the screening could not be produced"),
 }
+# Why a move is refused, as shown to the person asking (%1 = now, %2 = wanted, %3 = mover).
+REFUSALS = {
+    "terminal": "This application is %1$s and cannot be moved again.",
+    "already_there": "This application is already %1$s.",
+    "someone_else": "An application can be moved to %2$s by someone else, not by the %3$s.",
+    "unscreened": "An application can only be shortlisted once it has been screened, so "
+    "there is cited evidence behind the decision.",
+    "no_such_move": "An application cannot go from %1$s to %2$s.",
+    "needs_reason": "Moving an application to %2$s needs a reason.",
+    "needs_evidence": "Moving an application to %2$s needs a completed screening to rest on.",
+}
 # Rows per block of the sequential fold; see states_before.
 BLOCK = 128
 
@@ -87,62 +98,41 @@ def resolve_mover(role: Column, is_applicant: Column, is_job_owner: Column) -> C
     return F.when(is_job_owner | (role == "admin"), "job_owner").when(is_applicant, "applicant")
 
 
-def refusal(state: Column, to_state: Column, mover: Column, reason: Column, screening_id: Column) -> Column:
-    """Why a move may not be made, in words; null when it may."""
-    said = F.coalesce(tx.strip(F.coalesce(reason, F.lit(""))), F.lit(""))
+def refusal_kind(state: Column, to_state: Column, mover: Column, reason: Column, screening_id: Column) -> Column:
+    """The first rule a move breaks, a key of REFUSALS; null when it may be made."""
+    said = tx.strip(F.coalesce(reason, F.lit(""))) != ""
+    backed = F.coalesce(screening_id.cast("string"), F.lit("")) != ""
     reachable = _listed(sorted({f"{s}|{t}" for s, _, t in TRANSITIONS}), state, to_state)
-    not_permitted = (
-        F.when(
-            reachable,
-            F.concat(
-                F.lit("An application can be moved to "),
-                to_state,
-                F.lit(" by someone else, not by the "),
-                mover,
-                F.lit("."),
-            ),
-        )
-        .when(
-            to_state == "shortlisted",
-            F.lit(
-                "An application can only be shortlisted once it has been screened, so "
-                "there is cited evidence behind the decision."
-            ),
-        )
-        .otherwise(
-            F.concat(F.lit("An application cannot go from "), state, F.lit(" to "), to_state, F.lit("."))
-        )
-    )
     return (
-        F.when(
-            state.isin(*TERMINAL),
-            F.concat(F.lit("This application is "), state, F.lit(" and cannot be moved again.")),
-        )
-        .when(state == to_state, F.concat(F.lit("This application is already "), state, F.lit(".")))
-        .when(~may_move(state, mover, to_state), not_permitted)
-        .when(
-            (to_state == NEEDS_REASON) & (said == ""),
-            F.concat(F.lit("Moving an application to "), to_state, F.lit(" needs a reason.")),
-        )
+        F.when(state.isin(*TERMINAL), "terminal")
+        .when(state == to_state, "already_there")
         .when(
-            (to_state == NEEDS_EVIDENCE) & (F.coalesce(screening_id.cast("string"), F.lit("")) == ""),
-            F.concat(
-                F.lit("Moving an application to "),
-                to_state,
-                F.lit(" needs a completed screening to rest on."),
-            ),
+            ~may_move(state, mover, to_state),
+            F.when(reachable, "someone_else").when(to_state == NEEDS_EVIDENCE, "unscreened").otherwise("no_such_move"),
         )
+        .when((to_state == NEEDS_REASON) & ~said, "needs_reason")
+        .when((to_state == NEEDS_EVIDENCE) & ~backed, "needs_evidence")
     )
 
 
+def refusal_text(kind: Column, state: Column, to_state: Column, mover: Column) -> Column:
+    """A refusal in words; null for a move that may be made."""
+    words = F.lit(None).cast("string")
+    for name, template in REFUSALS.items():
+        words = F.when(kind == name, F.format_string(template, state, to_state, mover)).otherwise(words)
+    return words
+
+
 def plan_moves(requests: DataFrame, state: str = "state") -> DataFrame:
     """Judge one move per row against ``state``: adds allowed, why, and the trimmed reason."""
-    why = refusal(*(F.col(c) for c in (state, "to_state", "mover", "reason", "screening_id")))
+    kind = refusal_kind(*(F.col(c) for c in (state, "to_state", "mover", "reason", "screening_id")))
     said = tx.strip(F.coalesce(F.col("reason"), F.lit("")))
     return (
-        requests.withColumn("why", why)
-        .withColumn("allowed", F.col("why").isNull())
+        requests.withColumn("_kind", kind)
+        .withColumn("why", refusal_text(F.col("_kind"), *(F.col(c) for c in (state, "to_state", "mover"))))
+        .withColumn("allowed", F.col("_kind").isNull())
         .withColumn("reason", F.when(said != "", said))
+        .drop("_kind")
     )
 
 
@@ -151,7 +141,8 @@ def _effect() -> Column:
     effects = []
     for index, name in enumerate(STATES):
         state = F.lit(name)
-        allowed = refusal(state, *(F.col(c) for c in ("to_state", "mover", "reason", "screening_id"))).isNull()
+        asked = (F.col(c) for c in ("to_state", "mover", "reason", "screening_id"))
+        allowed = refusal_kind(state, *asked).isNull()
         to = F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("to_state")).cast("int") - 1
         effects.append(
             F.struct(

@@ -26,12 +26,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; only a session without one gets a scratch folder."""
+    """Keep the cluster's shared checkpoint folder; only a local session without one gets a scratch folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get(CHECKPOINT_CONF, None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(shared)
 
 
 def settle(df: DataFrame) -> DataFrame:
