@@ -54,28 +54,27 @@ def usage_report(calls: DataFrame) -> DataFrame:
     """Groups, buckets and the grand total from one scan, so they cannot disagree.
 
     ``level`` is group, bucket or total. Every bucket and the total are present even when
-    there is nothing to count.
+    there is nothing to count: one empty row per bucket is aggregated along and counts zero.
     """
+    columns = [*GROUP, "input_tokens", "output_tokens", "cached_input_tokens", "latency_ms", "cost_usd"]
+    empty = calls.sparkSession.createDataFrame([(name, 0) for name in BUCKETS], "bucket string, _real int")
+    rows = calls.withColumn("bucket", bucket()).select(*columns, F.lit(1).alias("_real"))
     cols = [F.col(c) for c in GROUP]
     rolled = (
-        calls.withColumn("bucket", bucket())
+        rows.unionByName(empty, allowMissingColumns=True)
         .groupingSets([cols, [F.col("bucket")], []], *cols)
-        .agg(*_totals(), F.grouping("provider").alias("_g"), F.grouping("bucket").alias("_b"))
+        .agg(
+            F.sum("_real").cast("bigint").alias("calls"),
+            *_totals()[1:],
+            F.grouping("provider").alias("_g"),
+            F.grouping("bucket").alias("_b"),
+        )
         .withColumn(
             "level", F.when(F.col("_b") == 1, "total").when(F.col("_g") == 1, "bucket").otherwise("group")
         )
-        .drop("_g", "_b")
-    )
-    frame = calls.sparkSession.createDataFrame(
-        [("bucket", name) for name in BUCKETS] + [("total", None)], "level string, bucket string"
+        .where((F.col("level") != "group") | (F.col("calls") > 0))
     )
-    coarse = rolled.where(F.col("level") != "group").drop("provider", "model", "prompt_version")
-    keyed = coarse.withColumnRenamed("level", "_l").withColumnRenamed("bucket", "_k")
-    filled = frame.join(
-        keyed, (F.col("level") == F.col("_l")) & F.col("bucket").eqNullSafe(F.col("_k")), "left"
-    ).select("level", "bucket", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in SUMS], "_cost")
-    groups = rolled.where(F.col("level") == "group")
-    return _finish(groups.unionByName(filled, allowMissingColumns=True))
+    return _finish(rolled.select("level", *GROUP, *SUMS, "_cost"))
 
 
 def scope_calls(calls: DataFrame, resumes: DataFrame, screenings: DataFrame, jobs: DataFrame, viewers: DataFrame, admin: bool = False) -> DataFrame:
