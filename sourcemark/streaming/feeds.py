@@ -6,16 +6,21 @@ the key's rows of one micro-batch arrive as Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sourcemark.operators.lifecycle import NEEDS_EVIDENCE, NEEDS_REASON, TERMINAL, TRANSITIONS
 from sourcemark.operators.worktrack import IN_FLIGHT, STREAM_SECONDS, VISIBILITY_SECONDS
 
+# The state functions travel inside the query, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PERMITTED = frozenset(TRANSITIONS)
 
 
