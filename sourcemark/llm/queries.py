@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcemark.llm import mixing, quality_rules
+from sourcemark.llm import mixing, quality_rules, token_counts, token_files
 from sourcemark.llm.common import read_table
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as ORC files and read back."""
+    return token_files.tokens_round_trip(read_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by merging."""
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
@@ -18,6 +32,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op4_token_files": op4_token_files, "op5_token_counts": op5_token_counts, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
 
 ORACLES = {"op9_mixing": mixing.oracle_sql(), "op10_quality_rules": quality_rules.oracle_sql()}
