@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcemark.llm import mixing, quality_rules, token_counts, token_files
+from sourcemark.llm import decontaminate, mixing, quality_rules, token_counts, token_files
 from sourcemark.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    documents, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.digest(decontaminate.scan(documents, benchmark))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as ORC files and read back."""
     return token_files.tokens_round_trip(read_table(spark, sf_dir, "documents"), VOCABULARY)
@@ -32,6 +38,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_token_files": op4_token_files, "op5_token_counts": op5_token_counts, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op5_token_counts": op5_token_counts, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
 
-ORACLES = {"op9_mixing": mixing.oracle_sql(), "op10_quality_rules": quality_rules.oracle_sql()}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE_SQL, "op9_mixing": mixing.oracle_sql(), "op10_quality_rules": quality_rules.oracle_sql()}
