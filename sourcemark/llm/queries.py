@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcemark.llm import decontaminate, mixing, quality_rules, token_counts, token_files
+from sourcemark.llm import decontaminate, mixing, near_dup, quality_rules, token_counts, token_files
 from sourcemark.llm.common import read_table
 
 
@@ -28,6 +28,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    found = near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
@@ -38,6 +44,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op5_token_counts": op5_token_counts, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op5_token_counts": op5_token_counts, "op6_near_dup": op6_near_dup, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
 
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE_SQL, "op9_mixing": mixing.oracle_sql(), "op10_quality_rules": quality_rules.oracle_sql()}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE_SQL, "op6_near_dup": near_dup.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op10_quality_rules": quality_rules.oracle_sql()}
