@@ -5,13 +5,28 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcemark.llm import decontaminate, mixing, near_dup, quality_rules, token_counts, token_files
+from sourcemark.llm import (
+    chat,
+    decontaminate,
+    html_extract,
+    mixing,
+    near_dup,
+    quality_rules,
+    token_counts,
+    token_files,
+    warc,
+)
 from sourcemark.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     documents, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
@@ -34,6 +49,16 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, archived, normalised and read back."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted, written and read back."""
+    return chat.round_trip(chat.with_probe(read_table(spark, sf_dir, "conversations")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
@@ -44,6 +69,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_token_files": op4_token_files, "op5_token_counts": op5_token_counts, "op6_near_dup": op6_near_dup, "op9_mixing": op9_mixing, "op10_quality_rules": op10_quality_rules}
-
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE_SQL, "op6_near_dup": near_dup.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op10_quality_rules": quality_rules.oracle_sql()}
+QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_token_files": op4_token_files,
+    "op5_token_counts": op5_token_counts,
+    "op6_near_dup": op6_near_dup,
+    "op7_warc": op7_warc,
+    "op8_chat": op8_chat,
+    "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
+}
+
+ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_near_dup": near_dup.oracle_sql(),
+    "op7_warc": warc.oracle_sql(),
+    "op8_chat": chat.oracle_sql(),
+    "op9_mixing": mixing.oracle_sql(),
+    "op10_quality_rules": quality_rules.oracle_sql(),
+}
