@@ -11,6 +11,7 @@ from sourcemark.llm import (
     html_extract,
     mixing,
     near_dup,
+    quality_classifier,
     quality_rules,
     token_counts,
     token_files,
@@ -27,6 +28,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and draw of every document."""
+    documents, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_classifier.classify(documents, labels)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     documents, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
@@ -71,6 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
