@@ -27,7 +27,6 @@ THAI_GRAM = 3
 MIN_WORD = 2
 # U+0300 is the first combining mark: text wholly below it is already composed.
 _COMPOSABLE = r"[^\x{0}-\x{2FF}]"
-_REGEX_SPECIAL = r"([\\.\[\]{}()*+?^$|&#~-])"
 
 
 def is_ascii(text: Column) -> Column:
@@ -75,25 +74,10 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, f"{WHITESPACE}+", " "), F.lit(" "))
 
 
-def escape_regex(text: Column) -> Column:
-    return F.regexp_replace(text, _REGEX_SPECIAL, r"\\$1")
-
-
-def words_pattern(collapsed: Column) -> Column:
-    """A pattern matching the same words under any whitespace layout."""
-    return F.replace(escape_regex(collapsed), F.lit(" "), F.lit(f"{WHITESPACE}+"))
-
-
-def letters_pattern(squeezed: Column) -> Column:
-    """A pattern matching the same characters with whitespace allowed between any two."""
-    spaced = F.regexp_replace(squeezed, r"(?s)(.)(?!\z)", "$1 ")
-    return F.replace(escape_regex(spaced), F.lit(" "), F.lit(f"{WHITESPACE}*"))
-
-
-def occurrences(text: Column, part: Column, limit: int = 8) -> Column:
-    """Non-overlapping occurrences of ``part``, reported up to ``limit``."""
+def occurrences(text: Column, part: Column) -> Column:
+    """How often ``part`` occurs in ``text`` without overlap."""
     removed = F.char_length(text) - F.char_length(F.replace(text, part, F.lit("")))
-    return F.least(F.lit(limit), (removed / F.char_length(part)).cast("int"))
+    return (removed / F.char_length(part)).cast("int")
 
 
 def lines(text: Column) -> Column:

@@ -7,7 +7,7 @@ A quote that cannot be located stays in the result with the reason.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +22,6 @@ MIN_SQUEEZED_QUOTE = 8
 # The closed vocabularies of outcomes.
 MATCH_KINDS = ("exact", "whitespace_collapsed", "whitespace_stripped")
 REJECT_REASONS = ("empty", "too_short", "not_found", "unknown_requirement")
-# Quotes longer than this are placed by bisection; a generated pattern nests one matcher
-# frame per character and would exhaust the thread's stack.
-PATTERN_CHARS = 400
-
 SPAN = "struct<quote:string,char_start:int,char_end:int,page:int,match_kind:string,is_ambiguous:boolean>"
 
 
@@ -42,25 +38,27 @@ def page_of(pages: Column, offset: Column) -> Column:
 def nth_visible(text: Column, nth: Column) -> Column:
     """0-based index in ``text`` of its ``nth`` (0-based) non-whitespace character.
 
-    Bisection on the prefix length: about log2(length) linear passes, no recursion.
+    Bisection that only counts the half it looks at, so all steps together read the text once.
     """
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.char_length(text) + 1)).cast("int") + 1)
-    bounds = F.aggregate(
-        steps,
-        F.struct(F.lit(1).alias("low"), F.char_length(text).alias("high")),
-        lambda acc, _: _halve(text, nth, acc),
-    )
-    return bounds["low"] - 1
+    # The character stands at or behind ``low``, which ``seen`` visible ones precede, and before ``high``.
+    start = F.struct(F.lit(0).alias("low"), F.char_length(text).alias("high"), F.lit(0).alias("seen"))
+    return F.aggregate(steps, start, lambda acc, _: _halve(text, nth, acc))["low"]
 
 
 def _halve(text: Column, nth: Column, acc: Column) -> Column:
-    middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
-    visible = F.char_length(tx.squeeze(F.substr(text, F.lit(1), middle)))
-    enough = visible > nth
-    return F.struct(
-        F.when(enough, acc["low"]).otherwise(F.least(middle + 1, acc["high"])).alias("low"),
-        F.when(enough, middle).otherwise(acc["high"]).alias("high"),
-    )
+    middle = F.shiftright(acc["low"] + acc["high"], 1)
+    inside = F.char_length(tx.squeeze(F.substr(text, acc["low"] + 1, middle - acc["low"])))
+
+    def narrowed(inside: Column) -> Column:
+        before = acc["seen"] + inside > nth
+        return F.struct(
+            F.when(before, acc["low"]).otherwise(middle).alias("low"),
+            F.when(before, middle).otherwise(acc["high"]).alias("high"),
+            F.when(before, acc["seen"]).otherwise(acc["seen"] + inside).alias("seen"),
+        )
+
+    return F.get(F.transform(F.array(inside), narrowed), F.lit(0))
 
 
 def _read_quotes(df: DataFrame, quote: str) -> DataFrame:
@@ -80,118 +78,116 @@ def _looser_texts(df: DataFrame, text: str, needed: Column) -> DataFrame:
     )
 
 
-def _place(df: DataFrame, text: str, pattern_chars: int) -> DataFrame:
-    """From _q, _why, _at and the looser texts to the outcome columns.
+def _with(claims: Column, names: list[str], **new: Callable[[Column], Column]) -> Column:
+    """Each claim of the array with fields added; ``names`` grows along."""
+    kept = list(names)
+    names += [n for n in new if n not in kept]
+    return F.transform(
+        claims,
+        lambda c: F.struct(
+            *[c[n].alias(n) for n in kept if n not in new], *[make(c).alias(n) for n, make in new.items()]
+        ),
+    )
 
-    Each tier is evaluated only for rows the tighter one missed.
+
+def _searched(claims: str, names: list[str], text: Column) -> Column:
+    return _with(F.col(claims), names, _at=lambda c: F.when(c["_why"].isNull(), F.instr(text, c["_q"])))
+
+
+def _placed(claims: str, names: list[str], text: Column, pages: Column) -> Column:
+    """From _q, _why, _at and the looser texts to the outcome fields, claim by claim.
+
+    Each tier is evaluated only for claims the tighter one missed. Looser matches are placed by
+    the number of visible characters before them, whatever the length of the quote.
     """
-    t, plain = F.col(text), F.col("_plain")
-    missed = F.col("_at") == 0
-    staged = (
-        df.withColumn("_pq", F.when(missed, tx.plain_spaces(F.col("_q"))))
-        .withColumn("_sq", tx.squeeze(F.col("_pq")))
-        # Both looser tiers need the squeezed quote inside the squeezed text.
-        .withColumn("_sat", F.when(missed, F.instr(F.col("_st"), F.col("_sq"))))
-        .withColumn("_cq", F.when(F.col("_sat") > 0, tx.collapse(F.col("_pq"))))
-        .withColumn("_cat", F.when(F.col("_sat") > 0, F.instr(F.col("_ct"), F.col("_cq"))))
-        .withColumn(
-            "match_kind",
-            F.when(F.col("_at") > 0, MATCH_KINDS[0])
-            .when(F.col("_cat") > 0, MATCH_KINDS[1])
-            .when((F.col("_sat") > 0) & (F.char_length("_sq") >= MIN_SQUEEZED_QUOTE), MATCH_KINDS[2]),
-        )
+    plain, squeezed_text, collapsed_text = F.col("_plain"), F.col("_st"), F.col("_ct")
+    exact, collapsed, squeezed = MATCH_KINDS
+    out = _with(F.col(claims), names, _pq=lambda c: F.when(c["_at"] == 0, tx.plain_spaces(c["_q"])))
+    out = _with(out, names, _sq=lambda c: tx.squeeze(c["_pq"]))
+    # Both looser tiers need the squeezed quote inside the squeezed text.
+    out = _with(out, names, _sat=lambda c: F.instr(squeezed_text, c["_sq"]))
+    out = _with(out, names, _cq=lambda c: F.when(c["_sat"] > 0, tx.collapse(c["_pq"])))
+    out = _with(out, names, _cat=lambda c: F.instr(collapsed_text, c["_cq"]))
+    out = _with(
+        out,
+        names,
+        match_kind=lambda c: F.when(c["_at"] > 0, exact)
+        .when(c["_cat"] > 0, collapsed)
+        .when((c["_sat"] > 0) & (F.char_length(c["_sq"]) >= MIN_SQUEEZED_QUOTE), squeezed),
     )
-    exact, collapsed, squeezed = (F.col("match_kind") == kind for kind in MATCH_KINDS)
-    short = F.char_length("_sq") <= pattern_chars
-    # Number of visible characters before the match, for quotes too long for a pattern.
-    before = F.when(
-        collapsed, F.char_length(tx.squeeze(F.substr(F.col("_ct"), F.lit(1), F.col("_cat") - 1)))
-    ).otherwise(F.col("_sat") - 1)
-    matched = F.when(collapsed, F.regexp_substr(plain, tx.words_pattern(F.col("_cq")))).when(
-        squeezed, F.regexp_substr(plain, tx.letters_pattern(F.col("_sq")))
+    before = lambda c: F.when(
+        c["match_kind"] == collapsed,
+        F.char_length(tx.squeeze(F.substr(collapsed_text, F.lit(1), c["_cat"] - 1))),
+    ).when(c["match_kind"] == squeezed, c["_sat"] - 1)
+    out = _with(out, names, _v=before)
+    out = _with(
+        out,
+        names,
+        char_start=lambda c: F.when(c["match_kind"] == exact, c["_at"] - 1)
+        .when(c["_v"].isNotNull(), nth_visible(plain, c["_v"]))
+        .cast("int"),
+        char_end=lambda c: F.when(c["match_kind"] == exact, c["_at"] - 1 + F.char_length(c["_q"]))
+        .when(c["_v"].isNotNull(), nth_visible(plain, c["_v"] + F.char_length(c["_sq"]) - 1) + 1)
+        .cast("int"),
+        occurrences=lambda c: F.when(c["match_kind"] == exact, tx.occurrences(text, c["_q"]))
+        .when(c["match_kind"] == collapsed, tx.occurrences(collapsed_text, c["_cq"]))
+        .when(c["match_kind"] == squeezed, tx.occurrences(squeezed_text, c["_sq"])),
+        reason=lambda c: F.coalesce(c["_why"], F.when(c["match_kind"].isNull(), F.lit("not_found"))),
     )
-    return (
-        staged.withColumn("_m", F.when(~exact & short, matched))
-        .withColumn("_v", F.when(~exact & ~short, before))
-        .withColumn(
-            "char_start",
-            F.when(exact, F.col("_at") - 1)
-            .when(F.col("_m").isNotNull(), F.instr(plain, F.col("_m")) - 1)
-            .when(F.col("_v").isNotNull(), nth_visible(plain, F.col("_v")))
-            .cast("int"),
-        )
-        .withColumn(
-            "char_end",
-            F.when(exact, F.col("char_start") + F.char_length("_q"))
-            .when(F.col("_m").isNotNull(), F.col("char_start") + F.char_length("_m"))
-            .when(
-                F.col("_v").isNotNull(),
-                nth_visible(plain, F.col("_v") + F.char_length("_sq") - 1) + 1,
-            )
-            .cast("int"),
-        )
-        .withColumn(
-            "occurrences",
-            F.when(exact, tx.occurrences(t, F.col("_q")))
-            .when(collapsed, tx.occurrences(F.col("_ct"), F.col("_cq")))
-            .when(squeezed, tx.occurrences(F.col("_st"), F.col("_sq"))),
-        )
-        .withColumn("is_ambiguous", F.col("occurrences") > 1)
-        .withColumn(
-            "found",
-            F.when(
-                F.col("char_start").isNotNull(),
-                F.substr(t, F.col("char_start") + 1, F.col("char_end") - F.col("char_start")),
-            ),
-        )
-        .withColumn(
-            "reason",
-            F.coalesce(F.col("_why"), F.when(F.col("match_kind").isNull(), F.lit("not_found"))),
-        )
-        .drop("_q", "_pq", "_why", "_at", "_sq", "_sat", "_cq", "_cat", "_m", "_v", "_plain", "_st", "_ct")
+    return _with(
+        out,
+        names,
+        is_ambiguous=lambda c: c["occurrences"] > 1,
+        found=lambda c: F.substr(text, c["char_start"] + 1, c["char_end"] - c["char_start"]),
+        page=lambda c: F.when(c["reason"].isNull(), page_of(pages, c["char_start"])),
     )
 
 
-def locate_quotes(
-    df: DataFrame, text: str = "text", quote: str = "quote", pattern_chars: int = PATTERN_CHARS
-) -> DataFrame:
+_WORKING = ("_q", "_why", "_at", "_pq", "_sq", "_sat", "_cq", "_cat", "_v")
+
+
+def _inlined(df: DataFrame, names: list[str], text: Column, pages: Column, keep: list[str]) -> DataFrame:
+    """Place the claims nested in ``_claims`` and only then give each a row.
+
+    The outer form is as good here (no bundle is empty) and keeps Spark from computing the
+    array once more in a filter.
+    """
+    needed = F.exists("_claims", lambda c: c["_at"] == 0)
+    derived = _looser_texts(df, "_text", needed)
+    placed = derived.select(*keep, _placed("_claims", names, text, pages).alias("_claims"))
+    return placed.select(*keep, F.inline_outer("_claims")).drop(*_WORKING)
+
+
+_NO_PAGES = "array<struct<page_number:int,char_start:int,char_end:int>>"
+
+
+def locate_quotes(df: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
     """Rows holding a text and a quote: add found, char_start, char_end, match_kind,
     occurrences, is_ambiguous and reason. ``text`` must be NFC already.
     """
-    at = F.when(F.col("_why").isNull(), F.instr(F.col(text), F.col("_q")))
-    read = _read_quotes(df, quote).withColumn("_at", at)
-    return _place(_looser_texts(read, text, F.col("_at") == 0), text, pattern_chars)
+    names = ["_q", "_why"]
+    read = _read_quotes(df, quote).withColumn("_text", F.col(text))
+    nested = read.withColumn("_claims", F.array(F.struct(*names))).drop(*names)
+    searched = nested.withColumn("_claims", _searched("_claims", names, F.col("_text")))
+    return _inlined(searched, names, F.col("_text"), F.lit(None).cast(_NO_PAGES), df.columns).drop("page")
 
 
 def resolve(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Claims (key, quote, …) against documents (key, text[, pages]) → one outcome per claim.
 
-    Claims are nested per document in bounded bundles, so a text is shuffled once, its looser
-    forms are derived once per bundle (and only if some claim of it is not verbatim), and the
-    text is dropped as soon as its claims are placed. A claim whose document is unknown is
-    reported as not found.
+    Claims are nested per document in bounded bundles, so a text is shuffled once and its looser
+    forms are derived once per bundle (and only if some claim of it is not verbatim). Claims are
+    placed inside the bundle; only their outcomes are given rows. A claim whose document is
+    unknown is reported as not found.
     """
     pages = F.col("pages") if "pages" in docs.columns else F.lit(None)
-    pages = pages.cast("array<struct<page_number:int,char_start:int,char_end:int>>")
-    sources = docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.alias("_pages"))
+    sources = docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.cast(_NO_PAGES).alias("_pages"))
     bundles = attach_bundles(_read_quotes(claims, "quote"), sources, key, "_claims")
-    fields = [c for c in claims.columns if c != key] + ["_q", "_why"]
+    names = [c for c in claims.columns if c != key] + ["_q", "_why"]
     searched = bundles.withColumn("_text", F.coalesce(F.col("_text"), F.lit(""))).withColumn(
-        "_claims",
-        F.transform(
-            "_claims",
-            lambda c: F.struct(
-                *[c[f].alias(f) for f in fields],
-                F.when(c["_why"].isNull(), F.instr(F.col("_text"), c["_q"])).alias("_at"),
-            ),
-        ),
-    )
-    derived = _looser_texts(searched, "_text", F.exists("_claims", lambda c: c["_at"] == 0))
-    rows = derived.select(key, "_text", "_pages", "_plain", "_st", "_ct", F.inline("_claims"))
-    placed = _place(rows, "_text", PATTERN_CHARS).withColumn(
-        "page", F.when(F.col("reason").isNull(), page_of(F.col("_pages"), F.col("char_start")))
+        "_claims", _searched("_claims", names, F.col("_text"))
     )
-    return placed.drop("_text", "_pages")
+    return _inlined(searched, names, F.col("_text"), F.col("_pages"), [key])
 
 
 def split_outcomes(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Registered queries over `documents`: locating quotes, counters, contamination, profiles."""
+"""Registered queries over `documents`: locating quotes, counters, profiles."""
 
 from __future__ import annotations
 
@@ -67,11 +67,21 @@ r AS (
 """
 
 
+# A reader is told of at most so many occurrences.
+TOLD = 8
+
+
 def resolve_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim placed; page boundaries stand every 1000 characters."""
     docs = table(spark, sf_dir, "documents")
-    return ev.resolve(_claims(docs), docs.select("doc_id", "text")).select(
-        "doc_id", "claim_no", "quote", "found", "char_start", "char_end", "match_kind", "occurrences",
-        "is_ambiguous", "reason",
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(1000))
+    pages = F.transform(
+        starts, lambda at: F.struct((at / 1000 + 1).cast("int").alias("page_number"), at.alias("char_start"), (at + 1000).alias("char_end"))
+    )
+    return ev.resolve(_claims(docs), docs.select("doc_id", "text", pages.alias("pages"))).select(
+        "doc_id", "claim_no", "quote", "found", "char_start", "char_end", "match_kind",
+        F.when(F.col("occurrences") > TOLD, TOLD).otherwise(F.col("occurrences")).alias("occurrences"),
+        "is_ambiguous", "page", "reason",
     )
 
 
@@ -79,7 +89,8 @@ RESOLVE_CLAIMS = (
     _CLAIMS_SQL
     + """SELECT doc_id, claim_no, quote, found, char_start, char_end, match_kind,
   CASE WHEN found IS NULL THEN NULL ELSE occurrences END AS occurrences,
-  CASE WHEN found IS NULL THEN NULL ELSE occurrences > 1 END AS is_ambiguous, reason FROM r"""
+  CASE WHEN found IS NULL THEN NULL ELSE occurrences > 1 END AS is_ambiguous,
+  CASE WHEN found IS NULL THEN NULL ELSE (char_start // 1000 + 1)::INTEGER END AS page, reason FROM r"""
 )
 
 

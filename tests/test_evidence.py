@@ -4,43 +4,40 @@ import random
 import re
 import unicodedata
 
-import pytest
-
 from sourcemark.operators import evidence as ev
 
 SOURCE = (
-    "Somchai Jaidee\nSenior Backend Engineer\n\nEXPERIENCE\n"
-    "Acme Co — Backend Engineer (Jan 2021 - Mar 2024)\n"
-    "  Built payment reconciliation services in Python and\n"
-    "  PostgreSQL, handling 40k transactions per day.\n\nSKILLS\nPython, FastAPI, PostgreSQL, Docker\n"
+    "Harbour log, third quarter\nKeeper on duty: Odile Brandt\n\nTRAFFIC\n"
+    "Pier North — night pilot (18 May to 2 June)\n"
+    "\tGuided forty-one freighters through fog and\n"
+    "\tdrifting ice, without a single grounding.\n\nSTORES\nRope, Lamp oil, Tar, Canvas\n"
 )
-THAI = "ตำแหน่ง: วิศ วกร ซอฟต์ แวร์ อาวุโส"
+THAI = "ท่าเรือ: ประ ภา คาร ฝั่ง ตะวัน ออก"
 
 
-def locate(spark, pairs, **options):
+def locate(spark, pairs):
     df = spark.createDataFrame([(i, t, q) for i, (t, q) in enumerate(pairs)], "i int, text string, quote string")
-    return [row for row in ev.locate_quotes(df, **options).orderBy("i").collect()]
+    return [row for row in ev.locate_quotes(df).orderBy("i").collect()]
 
 
-@pytest.mark.parametrize("pattern_chars", [ev.PATTERN_CHARS, 0])
-def test_golden(spark, pattern_chars):
+def test_one_case_per_outcome(spark):
+    reflowed = "forty-one freighters through fog and drifting ice"
     cases = [
-        (SOURCE, "Senior Backend Engineer", "exact", "Senior Backend Engineer"),
-        (SOURCE, "  FastAPI  ", "exact", "FastAPI"),
-        (SOURCE, "Built payment reconciliation services in Python and PostgreSQL", "whitespace_collapsed",
-         "Built payment reconciliation services in Python and\n  PostgreSQL"),
-        (SOURCE, "Python,    FastAPI", "whitespace_collapsed", "Python, FastAPI"),
-        (THAI, "วิศวกรซอฟต์แวร์อาวุโส", "whitespace_stripped", "วิศ วกร ซอฟต์ แวร์ อาวุโส"),
-        (SOURCE, "Led a team of 12 engineers at Google", "not_found", None),
+        (SOURCE, "Odile Brandt", "exact", "Odile Brandt"),
+        (SOURCE, "\n Lamp oil\t", "exact", "Lamp oil"),
+        (SOURCE, reflowed, "whitespace_collapsed", reflowed.replace("and ", "and\n\t")),
+        (SOURCE, "Tar,  \n Canvas", "whitespace_collapsed", "Tar, Canvas"),
+        (THAI, "ประภาคารฝั่งตะวันออก", "whitespace_stripped", "ประ ภา คาร ฝั่ง ตะวัน ออก"),
+        (SOURCE, "Rescued ninety sailors off the cape", "not_found", None),
         (SOURCE, "", "empty", None),
-        (SOURCE, " \n ", "empty", None),
-        (SOURCE, "Go", "too_short", None),
-        (SOURCE, "x", "too_short", None),
-        ("I work with django daily", "go", "too_short", None),
-        ("", "anything at all", "not_found", None),
-        ("a\\Eb [x] (y) $1 {2}", "a\\Eb  [x]   (y)  $1  {2}", "whitespace_collapsed", "a\\Eb [x] (y) $1 {2}"),
+        (SOURCE, "\t\n", "empty", None),
+        (SOURCE, "Tar", "too_short", None),
+        (SOURCE, "?", "too_short", None),
+        ("a foghorn stands on the pier", "fog", "too_short", None),
+        ("", "quite some words", "not_found", None),
+        ("p\\Qq [r] {s} $2 (t)", "p\\Qq   [r]  {s} $2    (t)", "whitespace_collapsed", "p\\Qq [r] {s} $2 (t)"),
     ]
-    rows = locate(spark, [(t, q) for t, q, _, _ in cases], pattern_chars=pattern_chars)
+    rows = locate(spark, [(t, q) for t, q, _, _ in cases])
     for row, (text, quote, outcome, found) in zip(rows, cases):
         assert (row.match_kind or row.reason) == outcome, quote
         assert row.found == found
@@ -50,10 +47,10 @@ def test_golden(spark, pattern_chars):
 
 
 def test_ambiguity(spark):
-    (row,) = locate(spark, [("PostgreSQL experience. Also: PostgreSQL tuning.", "PostgreSQL")])
+    (row,) = locate(spark, [("Lanterns lit; more Lanterns carried up.", "Lanterns")])
     assert (row.occurrences, row.is_ambiguous, row.char_start) == (2, True, 0)
     (row,) = locate(spark, [("abcd " * 20, "abcd")])
-    assert row.occurrences == 8
+    assert row.occurrences == 20
 
 
 def brute(text, quote):
@@ -71,12 +68,11 @@ def brute(text, quote):
     for kind, pattern in tiers:
         hits = list(re.finditer(pattern, text))
         if hits:
-            return kind, hits[0].start(), hits[0].end(), min(8, len(hits))
+            return kind, hits[0].start(), hits[0].end(), len(hits)
     return "not_found", None, None, None
 
 
-@pytest.mark.parametrize("pattern_chars", [ev.PATTERN_CHARS, 3])
-def test_against_brute_force(spark, pattern_chars):
+def test_against_brute_force(spark):
     rng = random.Random(11)
     alphabet = "ab.é😀ก\\[" + "  \n\t　 \x1f"
     pairs = []
@@ -89,14 +85,14 @@ def test_against_brute_force(spark, pattern_chars):
         if rng.random() < 0.2:
             quote = " ".join(quote)
         pairs.append((text, quote))
-    for (text, quote), row in zip(pairs, locate(spark, pairs, pattern_chars=pattern_chars)):
+    for (text, quote), row in zip(pairs, locate(spark, pairs)):
         kind, start, end, n = brute(text, quote)
         assert (row.match_kind or row.reason, row.char_start, row.char_end, row.occurrences) == (
             kind, start, end, n,
         ), (text, quote)
 
 
-def test_long_quotes_need_no_deep_pattern(spark):
+def test_long_quotes_are_placed_like_short_ones(spark):
     text = " ".join(f"word{i}" for i in range(6000))
     squeezed, reflowed = text.replace(" ", ""), text.replace(" ", "\n")
     rows = locate(spark, [(text, squeezed[50:30000]), (text, reflowed[100:40000])])
@@ -107,11 +103,11 @@ def test_long_quotes_need_no_deep_pattern(spark):
 
 def test_resolve_reports_every_claim(spark):
     docs = spark.createDataFrame(
-        [(1, SOURCE, [(1, 0, 30), (2, 32, len(SOURCE))]), (2, THAI, None)],
+        [(1, SOURCE, [(1, 0, 70), (2, 70, len(SOURCE))]), (2, THAI, None)],
         "doc_id long, text string, pages array<struct<page_number:int,char_start:int,char_end:int>>",
     )
     claims = spark.createDataFrame(
-        [(1, 0, "Somchai Jaidee"), (1, 1, "FastAPI"), (1, 2, "nowhere to be found"), (2, 3, "ตำแหน่ง:"), (9, 4, "orphan claim")],
+        [(1, 0, "Harbour log"), (1, 1, "Lamp oil"), (1, 2, "nowhere to be found"), (2, 3, "ท่าเรือ:"), (9, 4, "orphan claim")],
         "doc_id long, claim_id int, quote string",
     )
     got = {row.claim_id: row for row in ev.resolve(claims, docs).collect()}
@@ -133,9 +129,20 @@ def test_documents_without_claims_have_rate_zero(spark):
 def test_input_order_does_not_matter(spark):
     docs = spark.createDataFrame([(i, SOURCE) for i in range(6)], "doc_id long, text string")
     claims = spark.createDataFrame(
-        [(i % 6, i, q) for i, q in enumerate(["FastAPI", "Python,\nFastAPI", "nope nope"] * 8)],
+        [(i % 6, i, q) for i, q in enumerate(["Lamp oil", "Tar,\nCanvas", "nope nope"] * 8)],
         "doc_id long, claim_id int, quote string",
     )
     a = sorted(map(str, ev.resolve(claims, docs).collect()))
     b = sorted(map(str, ev.resolve(claims.repartition(7, "quote"), docs.repartition(3)).collect()))
     assert a == b
+
+
+def test_texts_stay_out_of_the_rows_of_claims(spark):
+    docs = spark.createDataFrame([(1, SOURCE)], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, "Lamp oil")], "doc_id long, quote string")
+    plan = ev.resolve(claims, docs)._jdf.queryExecution().optimizedPlan().toString()
+    (generate,) = [line for line in plan.splitlines() if "Generate" in line]
+    assert "outer" in generate.lower() or ", true, [" in generate
+    assert not [line for line in plan.splitlines() if "Filter" in line and "instr" in line]
+    below = plan.split("Generate")[1].splitlines()[1]
+    assert "Project" in below and "_text#" not in below.rpartition("AS _claims")[2]
