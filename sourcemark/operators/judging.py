@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemark.operators import evidence as ev
+from sourcemark.operators.joins import attach
+from sourcemark.session import settle
 
 # The two verdicts there are.
 MET = "met"
@@ -87,12 +89,40 @@ def resolve_matches(raw: DataFrame, specs: DataFrame, docs: DataFrame, keys: Seq
     return found.unionByName(refused, allowMissingColumns=True)
 
 
+NO_TEXT = "no_text"
+
+
+def split_screenable(raw: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers to documents with text, answers whose document has none)."""
+    texts = docs.select("doc_id", has_text(F.col("text")).alias("_text"))
+    # Written once: both halves and the judging read the answers again.
+    known = settle(attach(raw, texts, ["doc_id"]))
+    ready = F.coalesce(F.col("_text"), F.lit(True))
+    return known.where(ready).drop("_text"), known.where(~ready).drop("_text")
+
+
 def judge(raw: DataFrame, specs: DataFrame, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One judgment per row of ``raw``: requirements in order, dropped quotes, counters.
 
     A requirement is met when at least one quote was located. Jobs without requirements give
-    an empty judgment. All regrouped arrays are bounded by the answer row they came from.
+    an empty judgment. A document without text is not judged but reported by ``refusal``: to call
+    its requirements not evidenced would be a wrong statement. All regrouped arrays are bounded
+    by the answer row they came from.
     """
+    ready, textless = split_screenable(raw, docs)
+    judged = _judgments(ready, specs, docs, keys).withColumn("refusal", F.lit(None).cast("string"))
+    empty = {name: F.array().cast(judged.schema[name].dataType) for name in ("requirements", "dropped")}
+    zero = ("requirements_met", "requirements_total", "claims_verified", "claims_dropped", "hallucination_rate")
+    refused = textless.select(
+        *keys,
+        *[column.alias(name) for name, column in empty.items()],
+        *[F.lit(0).cast(judged.schema[name].dataType).alias(name) for name in zero],
+        F.lit(NO_TEXT).alias("refusal"),
+    )
+    return judged.unionByName(refused)
+
+
+def _judgments(raw: DataFrame, specs: DataFrame, docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     resolved = resolve_matches(raw, specs, docs, keys)
     kept = F.col("reason").isNull()
     outcomes = resolved.groupBy(*keys).agg(

@@ -84,9 +84,10 @@ def _section(name: str) -> Column:
 
 def sectionize(docs: DataFrame, headings: dict[str, str] | None = None) -> DataFrame:
     """doc_id, line_no, section, line: non-empty stripped lines under the last heading seen."""
+    # The outer form keeps Spark from grouping the lines twice; the preamble is always a part.
     return (
         _parts(docs, headings)
-        .select("doc_id", F.inline("_parts"))
+        .select("doc_id", F.inline_outer("_parts"))
         .select("doc_id", "section", "base", F.posexplode("lines").alias("_nth", "line"))
         .select("doc_id", (F.col("base") + F.col("_nth")).alias("line_no"), "section", "line")
     )

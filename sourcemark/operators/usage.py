@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcemark.operators.joins import small_side
+
 from sourcemark.functions.numbers import rate
 
 # The four ways a call can name the work that paid for it.
@@ -80,23 +82,24 @@ def usage_report(calls: DataFrame) -> DataFrame:
 def scope_calls(calls: DataFrame, resumes: DataFrame, screenings: DataFrame, jobs: DataFrame, viewers: DataFrame, admin: bool = False) -> DataFrame:
     """Calls the viewers may total: of their resumes, or of screenings of their jobs.
 
-    Two semi-join arms. Rows naming both keys are taken by the first arm when it holds and
-    by the second only otherwise, so nothing is counted twice; null keys never shuffle.
+    One pass over the calls: they meet the distinct keys of both kinds, broadcast only where
+    a count allows it, and one filter decides. A call naming both is still one row.
     """
     if admin:
         return calls
     own_resumes = resumes.join(
         viewers, resumes["owner_id"] == viewers["viewer_id"], "left_semi"
-    ).select("resume_id")
+    ).select("resume_id").distinct().withColumn("_by_resume", F.lit(True))
     own_jobs = jobs.join(viewers, jobs["owner_id"] == viewers["viewer_id"], "left_semi")
-    own_screenings = screenings.join(own_jobs, "job_id", "left_semi").select("screening_id")
-    by_resume = calls.where(F.col("resume_id").isNotNull()).join(own_resumes, "resume_id", "left_semi")
-    judged = calls.where(F.col("screening_id").isNotNull()).join(
-        own_screenings, "screening_id", "left_semi"
+    own_screenings = (
+        screenings.join(own_jobs, "job_id", "left_semi")
+        .select("screening_id").distinct().withColumn("_by_screening", F.lit(True))
+    )
+    named = calls.join(small_side(own_resumes), "resume_id", "left").join(
+        small_side(own_screenings), "screening_id", "left"
     )
-    only = judged.where(F.col("resume_id").isNull())
-    both = judged.where(F.col("resume_id").isNotNull()).join(own_resumes, "resume_id", "left_anti")
-    return by_resume.unionByName(only).unionByName(both)
+    seen = F.col("_by_resume").isNotNull() | F.col("_by_screening").isNotNull()
+    return named.where(seen).select(*calls.columns)
 
 
 def quality(profiles: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,6 @@ from sourcemark.operators import privacy as pv
 from sourcemark.operators import worktrack as wt
 from sourcemark.operators.ordered import number_within
 from sourcemark.plans.common import DataFrame, SparkSession, table
-from sourcemark.sources import files as fl
 from sourcemark.sources.tables import outside_vocabulary
 
 # Magic bytes for the test files: web pages stand in for the first type.
@@ -40,12 +39,19 @@ SELECT page_id, suffix, strlen(content)::BIGINT AS length, CASE WHEN page_id % 9
 
 
 def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves, scanned as stored files and admitted by their leading bytes."""
-    found = fl.read_files(spark, sf_dir, "*.parquet").withColumn("consent", F.lit(True))
-    admitted = ig.admit(found, {".parquet": "50415231"}, 1 << 30)
-    return admitted.select(
-        F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), "length", ig.content_hash(F.col("content")).alias("content_hash"), "reason"
+    """Pages as stored files, admitted by their leading bytes and named by content hash."""
+    found = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("store/"), F.col("page_id"), F.lit(".html")).alias("path"),
+        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"),
+        F.lit(True).alias("consent"),
     )
+    admitted = ig.admit(found.withColumn("length", F.octet_length("content").cast("bigint")), _MAGIC, 1 << 30)
+    return admitted.select("path", "length", ig.content_hash(F.col("content")).alias("content_hash"), "reason")
+
+
+STORED_FILES = """
+SELECT 'store/' || page_id || '.html' AS path, strlen(coalesce(html, ''))::BIGINT AS length, sha256(coalesce(html, '')) AS content_hash,
+  CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN NOT starts_with(html, '<!DOCTYP') THEN 'magic_mismatch' END AS reason FROM pages"""
 
 
 def vocabulary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,6 +362,7 @@ QUERIES = {
     "dedupe_dispatch": dedupe_dispatch,
 }
 ORACLES = {
+    "stored_files": STORED_FILES,
     "admit_pages": ADMIT_PAGES,
     "vocabulary_check": VOCABULARY_CHECK,
     "dedupe_documents": DEDUPE_DOCUMENTS,

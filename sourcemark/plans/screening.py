@@ -97,7 +97,10 @@ def _answers(spark: SparkSession, sf_dir: str):
 
 
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments; two documents in 45 come without text and are refused."""
     raw, specs, docs = _answers(spark, sf_dir)
+    rest = F.col("doc_id") % 45
+    docs = docs.withColumn("text", F.when(rest == 0, F.lit("")).when(rest != 9, F.col("text")))
     judged = jd.judge(raw, specs, docs, ["job_id", "doc_id"])
     cited = pf.judgment_evidence(judged, judged.columns)
     return cited.select(
@@ -113,6 +116,7 @@ def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
         "claims_dropped",
         "hallucination_rate",
         F.size("refs").cast("bigint").alias("refs"),
+        "refusal",
     )
 
 
@@ -126,7 +130,8 @@ j AS (SELECT job_id, doc_id, string_agg(CASE WHEN length(quote) >= 4 THEN '1' EL
 k AS (SELECT *, (4 + shorts)::BIGINT AS claims_dropped FROM j)
 SELECT job_id, doc_id, verdicts, 'matches[requirement=0]=unknown_requirement,matches[requirement=999]=unknown_requirement,requirements[0]=not_found,requirements[1]=empty' || short_ AS dropped,
   claims_verified::INTEGER AS requirements_met, requirements_total, claims_verified, claims_dropped,
-  {sql_round("(claims_dropped::DOUBLE / (claims_verified + claims_dropped))", 4)} AS hallucination_rate, claims_verified AS refs FROM k"""
+  {sql_round("(claims_dropped::DOUBLE / (claims_verified + claims_dropped))", 4)} AS hallucination_rate, claims_verified AS refs, NULL::VARCHAR AS refusal FROM k WHERE doc_id % 45 NOT IN (0, 9)
+UNION ALL SELECT job_id, doc_id, '', '', 0, 0, 0, 0, 0.0, 0, 'no_text' FROM pr WHERE doc_id % 45 IN (0, 9)"""
 )
 
 

@@ -167,12 +167,22 @@ def parse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "extracted").when(F.col("o_orderstatus") == "P", "pending").otherwise("failed")
     resumes = orders.select(status.alias("status"))
-    success = us.parse_success(resumes).select("parse_success", F.lit(1).alias("_one"))
-    return us.parse_outcomes(resumes).withColumn("_one", F.lit(1)).join(success, "_one").drop("_one")
+    return us.parse_outcomes(resumes)
 
 
 PARSE_OUTCOMES = """WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'extracted' WHEN 'P' THEN 'pending' ELSE 'failed' END AS status FROM orders)
-SELECT status, count(*) AS resumes, (SELECT count(*) FILTER (status = 'extracted')::DOUBLE / count(*) FROM s) AS parse_success FROM s GROUP BY status"""
+SELECT status, count(*) AS resumes FROM s GROUP BY status"""
+
+
+def parse_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified profiles over documents accounted for, in one pass."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "extracted").otherwise("failed")
+    return us.parse_success(orders.select(status.alias("status")))
+
+
+PARSE_SUCCESS = """SELECT count(*) FILTER (o_orderstatus = 'F') AS extracted, count(*) AS total,
+  count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*) AS parse_success FROM orders"""
 
 QUERIES = {
     "usage_groups": usage_groups,
@@ -184,6 +194,7 @@ QUERIES = {
     "quality": quality,
     "quality_overall": quality_overall,
     "parse_outcomes": parse_outcomes,
+    "parse_success": parse_success,
 }
 ORACLES = {
     "usage_groups": USAGE_GROUPS,
@@ -195,4 +206,5 @@ ORACLES = {
     "quality": QUALITY,
     "quality_overall": QUALITY_OVERALL,
     "parse_outcomes": PARSE_OUTCOMES,
+    "parse_success": PARSE_SUCCESS,
 }

@@ -182,3 +182,14 @@ def test_quality_comes_from_totals(spark):
     assert (row.claims_verified, row.claims_dropped, row.hallucination_rate) == (99, 1, 0.01)
     (empty,) = us.quality(rows.where("false")).collect()
     assert empty.hallucination_rate is None and empty.profiles == 0
+
+
+def test_documents_without_text_are_refused_not_judged(spark):
+    docs = spark.createDataFrame([(1, "Python here"), (2, ""), (3, None)], "doc_id long, text string")
+    raw = spark.createDataFrame(
+        [(1, d, [(1, ["Python here"])]) for d in (1, 2, 3)],
+        "job_id long, doc_id long, matches array<struct<requirement:int,quotes:array<string>>>",
+    )
+    got = {r.doc_id: r for r in jd.judge(raw, specs(spark, [("x", False, 1)]), docs, ["job_id", "doc_id"]).collect()}
+    assert [got[d].refusal for d in (1, 2, 3)] == [None, "no_text", "no_text"]
+    assert (len(got[1].requirements), got[2].requirements, got[3].requirements_total) == (1, [], 0)
