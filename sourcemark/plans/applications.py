@@ -212,24 +212,37 @@ jobs AS (SELECT n_nationkey::BIGINT AS job_id, n_nationkey::BIGINT % 10 AS owner
 
 
 def follow_screenings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a screening update; the moves it asks for, judged on the current state."""
+    """Every order as a screening update; each move meets the state the one before left behind."""
     resumes, applications, _ = _people(spark, sf_dir)
     updates = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("screening_id"),
         (F.col("o_custkey") % 25).alias("job_id"),
         F.col("o_custkey").alias("resume_id"),
+        F.col("o_orderdate").alias("at"),
         _pick(("pending", "processing", "completed", "failed", "dead_lettered", "other"), F.col("o_orderkey") % 6).alias("status"),
     )
-    asked = lc.follow_screenings(updates, resumes, applications)
-    return lc.plan_moves(asked).select("screening_id", "application_id", "state", "to_state", "note", "allowed")
+    asked = lc.follow_screenings(updates, resumes, applications).drop("state")
+    fresh = applications.withColumn("last_position", F.lit(0).cast("bigint"))
+    return lc.apply_moves(asked, fresh, ["at", "screening_id"]).select(
+        "screening_id", "application_id", "from_state", "to_state", "note", "allowed", "position"
+    )
 
 
-FOLLOW_SCREENINGS = f"""WITH {_TRANSITIONS}, {_PEOPLE_SQL},
-u AS (SELECT o_orderkey AS screening_id, o_custkey % 25 AS job_id, o_custkey // 2 AS candidate_id,
+FOLLOW_SCREENINGS = f"""WITH RECURSIVE {_TRANSITIONS}, {_PEOPLE_SQL},
+u AS (SELECT o_orderkey AS screening_id, o_custkey % 25 AS job_id, o_custkey // 2 AS candidate_id, o_orderdate AS asked_at,
   ['screening','screening','screened','applied','applied',NULL][(o_orderkey % 6 + 1)::INTEGER] AS to_state,
-  ['a screening was queued','a screening was queued','the screening completed','the screening could not be produced','the screening could not be produced',NULL][(o_orderkey % 6 + 1)::INTEGER] AS note FROM orders)
-SELECT screening_id, application_id, state, to_state, note, t.s IS NOT NULL AND state <> to_state AS allowed
-FROM u JOIN applications USING (job_id, candidate_id) LEFT JOIN t ON t.s = state AND t.m = 'system' AND t.d = to_state WHERE to_state IS NOT NULL"""
+  ['a screening was queued','a screening was queued','the screening completed','the screening could not be produced','the screening could not be produced',NULL][(o_orderkey % 6 + 1)::INTEGER] AS note FROM orders),
+m AS (SELECT screening_id, application_id, to_state, note, row_number() OVER (PARTITION BY application_id ORDER BY asked_at, screening_id) - 1 AS seq
+  FROM u JOIN applications USING (job_id, candidate_id) WHERE to_state IS NOT NULL),
+w AS (
+  SELECT application_id, -1::BIGINT AS seq, NULL::BIGINT AS screening_id, NULL::VARCHAR AS from_state, NULL::VARCHAR AS to_state, NULL::VARCHAR AS note,
+    NULL::BOOLEAN AS allowed, state AS cur, 0::BIGINT AS pos FROM applications
+  UNION ALL
+  SELECT application_id, seq, screening_id, cur, to_state, note, ok, CASE WHEN ok THEN to_state ELSE cur END, pos + ok::BIGINT
+  FROM (SELECT w.application_id, m.seq, m.screening_id, w.cur, m.to_state, m.note, w.pos, t.s IS NOT NULL AS ok
+    FROM w JOIN m ON m.application_id = w.application_id AND m.seq = w.seq + 1
+    LEFT JOIN t ON t.s = w.cur AND t.m = 'system' AND t.d = m.to_state) z)
+SELECT screening_id, application_id, from_state, to_state, note, allowed, CASE WHEN allowed THEN pos END AS position FROM w WHERE seq >= 0"""
 
 
 def apply_all(spark: SparkSession, sf_dir: str) -> DataFrame:
