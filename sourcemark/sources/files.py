@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def read_claims(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def parse_document(column: Column, schema: str) -> Column:
+def parse_document(column: Column, schema: str | T.DataType) -> Column:
     """A stored JSON result as a nested column; unreadable ones become null and are reported as such."""
     return F.from_json(column, schema, {"mode": "PERMISSIVE"})
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourcemark.session import spread
+from sourcemark.sources.files import parse_document
 
 # The entity tables and their columns (times are UTC timestamps).
 _PAGE_SPANS = "array<struct<page_number:int,char_start:int,char_end:int>>"
@@ -81,16 +83,30 @@ def read_table_jdbc(
 ) -> DataFrame:
     """The same table from a database, split on ``split_column`` so no single task reads it all."""
     lower, upper = (str(bound) for bound in bounds)
-    return (
+    return as_entity(
         spark.read.format("jdbc")
         .options(url=url, dbtable=name, partitionColumn=split_column, **options)
         .option("lowerBound", lower)
         .option("upperBound", upper)
         .option("numPartitions", str(partitions))
-        .load()
+        .load(),
+        name,
     )
 
 
+def as_entity(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a database as the entity's columns: JSON text becomes nested, all else its declared type."""
+    kinds = dict(rows.dtypes)
+
+    def column(field: T.StructField) -> Column:
+        nested = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
+        if nested and kinds[field.name] == "string":
+            return parse_document(F.col(field.name), field.dataType).alias(field.name)
+        return F.col(field.name).cast(field.dataType).alias(field.name)
+
+    return rows.select(*[column(field) for field in T.StructType.fromDDL(TABLES[name])])
+
+
 def outside_vocabulary(df: DataFrame, column: str, vocabulary: str) -> DataFrame:
     """Rows whose value is none of the allowed ones (null included)."""
     return df.where(~F.coalesce(F.col(column).isin(*VOCABULARIES[vocabulary]), F.lit(False)))
