@@ -481,6 +481,15 @@ def applications_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 APPLICATIONS_OF_JOBS = f"""WITH {_PEOPLE_SQL} SELECT job_id, application_id, candidate_id, title, filename, a.state, a.created_at FROM applications a JOIN jobs USING (job_id) JOIN resumes r ON r.resume_id = a.resume_id"""
 
 
+def newest_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One posting's applications, newest first."""
+    _, applications, _ = _people(spark, sf_dir)
+    return ac.newest_first(applications, "job_id", 7, "application_id").select("application_id", "candidate_id", "state", "created_at")
+
+
+NEWEST_APPLICATIONS = f"""WITH {_PEOPLE_SQL} SELECT application_id, candidate_id, state, created_at FROM applications WHERE job_id = 7"""
+
+
 def applications_of_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     resumes, applications, jobs = _people(spark, sf_dir)
     people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate_id"))
@@ -538,6 +547,7 @@ QUERIES = {
     "list_jobs": list_jobs,
     "applications_of_jobs": applications_of_jobs,
     "applications_of_people": applications_of_people,
+    "newest_applications": newest_applications,
     "events_in_order": events_in_order,
     "pipeline_counts": pipeline_counts,
     "open_to": open_to,
@@ -561,6 +571,7 @@ ORACLES = {
     "list_jobs": LIST_JOBS,
     "applications_of_jobs": APPLICATIONS_OF_JOBS,
     "applications_of_people": APPLICATIONS_OF_PEOPLE,
+    "newest_applications": NEWEST_APPLICATIONS,
     "events_in_order": EVENTS_IN_ORDER,
     "pipeline_counts": PIPELINE_COUNTS,
     "open_to": OPEN_TO,

@@ -213,9 +213,11 @@ FROM k3 GROUP BY doc_id, page, piece"""
 
 
 def trusted_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some pages keep other text than their characters spell, one needs normalising, some were recognised."""
-    turns = table(spark, sf_dir, "conversations")
+    """Some pages keep other text than their characters spell, some need normalising, some were recognised."""
     n = F.col("conv_id") + F.col("turn")
+    # A letter and its accent as two characters.
+    apart = F.when(n % 13 == 0, F.concat("text", F.lit("e\u0301"))).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").withColumn("text", apart)
     kept = F.when(n % 5 == 0, F.concat("text", F.lit("."))).when(n % 11 == 0, "").otherwise(F.col("text"))
     pages = turns.select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), kept.alias("text"), (n % 7 == 0).alias("from_ocr")
@@ -223,7 +225,8 @@ def trusted_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gm.trusted_geometry(_chars(turns), pages).select("doc_id", "page", "gap")
 
 
-TRUSTED_GEOMETRY = """SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'from_ocr' WHEN (conv_id + turn) % 5 = 0 THEN 'text_differs' END AS gap FROM conversations"""
+TRUSTED_GEOMETRY = """SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'from_ocr' WHEN (conv_id + turn) % 5 = 0 THEN 'text_differs'
+  WHEN (conv_id + turn) % 11 = 0 THEN NULL WHEN (conv_id + turn) % 13 = 0 THEN 'normalised' END AS gap FROM conversations"""
 
 
 def _document_runs(turns: DataFrame) -> DataFrame:

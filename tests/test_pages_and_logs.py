@@ -161,3 +161,19 @@ def test_stalled_claims_are_reported_by_the_stream(spark, tmp_path):
     drain()
     got = spark.read.schema("id long, claimed_at timestamp").parquet(str(tmp_path / "out")).collect()
     assert [(r.id, r.claimed_at) for r in got] == [(1, start)]
+
+
+def test_boxes_are_cut_to_the_page_or_given_up(spark):
+    from sourcemark.operators import layout
+
+    box = "struct<x0:double,top:double,x1:double,bottom:double>"
+    rows = [
+        (1, [(-5.0, -2.0, 50.0, 40.0), (50.0, 10.0, 130.0, 90.0)]),
+        (2, [(0.0, 0.0, 50.0, 50.0), (110.0, 0.0, 130.0, 50.0)]),
+    ]
+    df = spark.createDataFrame(rows, f"n int, boxes array<{box}>").withColumn(
+        "page", F.struct(*[F.lit(float(v)).alias(k) for k, v in (("left", 0), ("top", 0), ("right", 100), ("bottom", 80))])
+    )
+    got = {r.n: r.cut for r in df.select("n", layout.clamp(F.col("boxes"), F.col("page")).alias("cut")).collect()}
+    assert [tuple(b) for b in got[1]] == [(0.0, 0.0, 50.0, 40.0), (50.0, 10.0, 100.0, 80.0)]
+    assert got[2] is None
