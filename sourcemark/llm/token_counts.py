@@ -16,29 +16,15 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcemark.llm.vocabulary import WordCache, blocks, kept, shared_file, split_words
+from sourcemark.llm.vocabulary import Cutter, WordCache, blocks, kept, shared_file, split_words
 
 LIMIT = 2048
-# Fixed by the vocabulary file: how it cuts normalised text.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in set(printable) else chr(next(others)) for b in range(256)]
-
 
 class Merger:
     """Counts what the merges of one vocabulary leave of a word."""
@@ -49,15 +35,13 @@ class Merger:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
         self.end = model["end_of_word_suffix"] or ""
-        self.letters = byte_letters()
-        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.special = re.compile(f"({'|'.join(special)})") if special else None
+        self.cutter = Cutter(vocabulary)
         self.pieces: dict[str, int] = {}
         self.words = WordCache(lambda words: map(self.count, words))
 
     def merged(self, piece: str) -> int:
         """Symbols left of one piece once no pair can be merged."""
-        symbols: list = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
+        symbols: list = list(piece)
         symbols[-1] += self.end
         count = len(symbols)
         if count == 1:
@@ -94,14 +78,8 @@ class Merger:
         return count - merges
 
     def _plain(self, word: str) -> int:
-        if word.isascii():
-            found = ASCII_PIECES.findall(word.lower())
-        else:
-            # A capital sigma becomes the medial small one wherever it stands.
-            low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-            found = PIECES.findall(low)
         total = 0
-        for piece in found:
+        for piece in self.cutter.pieces(word):
             count = self.pieces.get(piece)
             if count is None:
                 count = self.merged(piece)
@@ -114,9 +92,7 @@ class Merger:
 
     def count(self, word: str) -> int:
         """Tokens of a run without white space."""
-        if self.special is None or "<" not in word:
-            return self._plain(word)
-        parts = self.special.split(word)
+        parts = self.cutter.parts(word)
         return len(parts) // 2 + sum(self._plain(part) for part in parts[::2] if part)
 
 

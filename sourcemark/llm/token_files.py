@@ -6,8 +6,8 @@ within it, so the offset over all files needs only one total per file. Readers s
 stripe; a look-up by document id prunes files and stripes by their statistics, row groups by row
 index and Bloom filter.
 
-Encoding goes by white-space-free runs, which this vocabulary never joins; the ids of the runs a
-worker has met are kept in a bounded cache, and the library encodes the others in batches.
+Encoding goes by white-space-free runs, which this vocabulary never joins; the ids of the runs and
+pieces a worker has met are kept in bounded caches, and the library's model encodes the others.
 
 Edge cases: a null or empty text holds the end id only. Rows of one id (repeated rows) stand next
 to each other, ordered by text; null ids come first. Extra columns are ignored. An empty table
@@ -25,35 +25,55 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourcemark.llm.common import scratch_folder
-from sourcemark.llm.vocabulary import WordCache, blocks, kept, shared_file, split_words
+from sourcemark.llm.vocabulary import Cutter, WordCache, blocks, kept, shared_file, split_words
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-# About so many words are looked up at a time.
-CHUNK_WORDS = 200_000
+# Pieces that a worker keeps, in each of two generations, and their length.
+KEPT_PIECES, LONGEST_KEPT = 150_000, 32
 
 
 class Encoder:
-    """The library's ids of white-space-free runs, as little-endian bytes."""
+    """The ids of white-space-free runs, as little-endian bytes.
 
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache = WordCache(self._encode)
+    The library's model encodes every piece that the worker has not met.
+    """
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        for start in range(0, len(words), 4096):
-            for found in self.tokenizer.encode_batch_fast(words[start : start + 4096], add_special_tokens=False):
-                yield np.array(found.ids, dtype="<u4").tobytes()
+    def __init__(self, vocabulary: str):
+        self.cutter = Cutter(vocabulary)
+        self.model = self.cutter.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words = WordCache(lambda words: map(self.run, words), limit=200_000)
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.older.get(piece)
+            if found is None:
+                found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.pieces) >= KEPT_PIECES:
+                    self.older, self.pieces = self.pieces, {}
+                self.pieces[piece] = found
+        return found
+
+    def run(self, word: str) -> bytes:
+        if "<" not in word:
+            return b"".join(map(self.piece, self.cutter.pieces(word)))
+        out = []
+        for i, part in enumerate(self.cutter.parts(word)):
+            if i % 2:
+                out.append(self.cutter.tokenizer.token_to_id(part).to_bytes(4, "little"))
+            elif part:
+                out += map(self.piece, self.cutter.pieces(part))
+        return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return b"".join(b"".join(self.cache.lookup(split_words(block))) for block in blocks(text))
+        return b"".join(b"".join(self.words.lookup(split_words(block))) for block in blocks(text))
 
 
 def _encoded(vocabulary, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

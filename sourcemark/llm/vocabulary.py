@@ -22,6 +22,49 @@ BLOCK = 1 << 20
 FILE_LIMIT = 64 << 20
 
 
+# Runs of printable ASCII and composed Latin letters, whose lower case is one letter each.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
+# Fixed by the vocabulary file: how it cuts such runs in lower case. Bytes beyond ASCII are letters' here.
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u0080-\uffff]+|[0-9]|[^a-z0-9\u0080-\uffff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+
+
+class Cutter:
+    """Cuts white-space-free runs as the vocabulary does: special strings, then normalised pieces.
+
+    Plain runs are cut here; the library's own normaliser and splitter cut the others.
+    """
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.normalise = self.tokenizer.normalizer.normalize_str
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = byte_letters()
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(f"({'|'.join(special)})") if special else None
+
+    def parts(self, word: str) -> list[str]:
+        """``word`` around its special strings, which stand at the odd places."""
+        return [word] if self.special is None or "<" not in word else self.special.split(word)
+
+    def pieces(self, word: str) -> list[str]:
+        """Pieces in the letters that stand for their bytes."""
+        if PLAIN.fullmatch(word):
+            low = word.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.letters)
+            return PLAIN_PIECES.findall(low)
+        return [piece for piece, _ in self.split(self.normalise(word))]
+
+
 def shared_file(spark: SparkSession, path: str) -> Broadcast:
     """A vocabulary file for all executors; its size is checked, as it is broadcast."""
     size = os.path.getsize(path)
@@ -52,7 +95,7 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
 class WordCache:
     """What words give, in two generations of ``limit`` entries: the older one is dropped whole."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 350_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = 150_000, longest: int = 64):
         self.compute, self.limit, self.longest = compute, limit, longest
         self.young: dict = {}
         self.old: dict = {}
@@ -60,8 +103,11 @@ class WordCache:
     def lookup(self, words: list[str]) -> list:
         """Values of ``words``, in order; unknown ones are computed together."""
         young, old = self.young, self.old
+        out = list(map(young.get, words))
+        if None not in out:
+            return out
         missing, long = [], {}
-        for word in set(words).difference(young):
+        for word in {w for w, value in zip(words, out, strict=True) if value is None}:
             if len(word) > self.longest:
                 long[word] = None
             elif word in old:
@@ -85,7 +131,18 @@ def kept(key: object, make: Callable[[], object]):
 
     It hangs on a module of the process, as the globals of functions that travel are new per task.
     """
-    store = vars(sys.modules.setdefault("_sourcemark_kept", ModuleType("_sourcemark_kept")))
+    store = _store()
     if store.get("key") != key:
+        forget()
         store.update(key=key, value=make())
     return store["value"]
+
+
+def forget() -> None:
+    """Drop what an earlier job of this worker process has kept."""
+    for name in ("key", "value"):
+        _store().pop(name, None)
+
+
+def _store() -> dict:
+    return vars(sys.modules.setdefault("_sourcemark_kept", ModuleType("_sourcemark_kept")))
