@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from sourcemark.llm.common import settle
 from sourcemark.llm.hashing import NOT_SPACE, mix, pieces, word_hashes
+from sourcemark.llm.vocabulary import forget
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -80,6 +81,7 @@ def _rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, int, int]]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket sums of one task: raw over all rows, target over the marked ones."""
+    forget()
     sums = np.zeros((2, BUCKETS + 2), dtype=np.int64)
     for batch in batches:
         for (grams, fresh, twice), target in zip(_rows(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -165,6 +167,7 @@ def _scores(model: Model, texts: pa.Array, hashes: np.ndarray) -> tuple[np.ndarr
 
 
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         found = _scores(model, batch.column(1), batch.column(2).to_numpy())
         yield pa.record_batch(
