@@ -30,8 +30,9 @@ from sourcemark.llm.vocabulary import Cutter, WordCache, blocks, kept, shared_fi
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-# Pieces that a worker keeps, in each of two generations, and their length.
-KEPT_PIECES, LONGEST_KEPT = 150_000, 32
+# Runs and pieces that a worker keeps, in each of two generations: more memory, less work.
+CACHED = (200_000, 150_000)
+LONGEST_KEPT = 32
 
 
 class Encoder:
@@ -40,12 +41,13 @@ class Encoder:
     The library's model encodes every piece that the worker has not met.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cached: tuple[int, int] = CACHED):
+        self.kept_pieces = cached[1]
         self.cutter = Cutter(vocabulary)
         self.model = self.cutter.tokenizer.model
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.words = WordCache(lambda words: map(self.run, words), limit=200_000)
+        self.words = WordCache(lambda words: map(self.run, words), limit=cached[0])
 
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
@@ -54,7 +56,7 @@ class Encoder:
             if found is None:
                 found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
             if len(piece) <= LONGEST_KEPT:
-                if len(self.pieces) >= KEPT_PIECES:
+                if len(self.pieces) >= self.kept_pieces:
                     self.older, self.pieces = self.pieces, {}
                 self.pieces[piece] = found
         return found
@@ -76,8 +78,8 @@ class Encoder:
         return b"".join(b"".join(self.words.lookup(split_words(block))) for block in blocks(text))
 
 
-def _encoded(vocabulary, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = kept(("ids", vocabulary.value), lambda: Encoder(vocabulary.value))
+def _encoded(vocabulary, end_id: int, cached: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = kept(("ids", vocabulary.value, cached), lambda: Encoder(vocabulary.value, cached))
     end = np.array([end_id], dtype="<u4").tobytes()
     row = offset = 0
     for batch in batches:
@@ -102,7 +104,13 @@ def _encoded(vocabulary, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    folder: str,
+    path: str,
+    end_id: int = END_ID,
+    cached: tuple[int, int] = CACHED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> None:
     """Write the ids of all documents below ``folder``, in ascending order of document id."""
     spark = docs.sparkSession
@@ -115,7 +123,7 @@ def write_tokens(
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
         .select("doc_id", F.spark_partition_id().alias("part"), "text")
         .mapInArrow(
-            lambda batches: _encoded(vocabulary, end_id, batches),
+            lambda batches: _encoded(vocabulary, end_id, cached, batches),
             f"doc_id {id_type}, part int, row bigint, offset bigint, ids array<int>",
         )
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -161,8 +169,10 @@ def token_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tokens_round_trip(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
+def tokens_round_trip(
+    docs: DataFrame, path: str, folder: str | None = None, cached: tuple[int, int] = CACHED
+) -> DataFrame:
     """Write all documents to ``folder`` (default: a new one in the shared folder) and index them."""
     folder = folder or scratch_folder(docs.sparkSession, "tokens")
-    write_tokens(docs, folder, path)
+    write_tokens(docs, folder, path, cached=cached)
     return token_index(docs.sparkSession, folder)
