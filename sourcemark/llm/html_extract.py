@@ -3,10 +3,11 @@
 The standard library's parser streams its events. Text between block-level tags is a line; its
 ratio is its characters over its tags, 0 inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments. The ratios are smoothed with a Gaussian, lines above
-the threshold (the deviation of the smoothed ratios) cluster into content, and the innermost
-element that holds nearly all of the content's characters is the content region. All its lines
-outside excluded elements are the text, also short ones, in page order. On a page that marks an
-article or main part with text, only lines inside such parts have a ratio above 0.
+the threshold (the deviation of the smoothed ratios) cluster into content, with the lines just
+before and after a cluster that are not links alone, and the innermost element around all content
+is the content region. All its lines outside excluded elements are the text, also short ones, in
+page order. On a page that marks an article or main part with text, all lines inside such parts
+and outside excluded elements are the text.
 
 Scale: one pass, no shuffle; a task holds one page at a time besides its Arrow batch.
 
@@ -58,19 +59,19 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 SIGMA = 1.0
 RADIUS = 3
-# The region is the innermost element with this share of the content's characters.
-SHARE = 0.9
 
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)]
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags, whether outside the content, and the open elements."""
+    """Collects lines: text, tags, whether outside the content, the open elements, whether in an article, whether links alone."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple, bool]] = []
+        self.lines: list[tuple[str, int, bool, tuple, bool, bool]] = []
         self.text: list[str] = []
+        # Whether some text of the line is outside links.
+        self.plain = False
         self.tags = 0
         # Open elements: (tag, number, outside, inside an article, in a header of an article).
         self.open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
@@ -84,9 +85,11 @@ class _Lines(HTMLParser):
             if words:
                 if self.path is None:
                     self.path = tuple(e[1] for e in self.open)
-                self.lines.append((" ".join(words), self.tags, self.open[-1][2], self.path, self.open[-1][3]))
+                _, _, outside, article, _ = self.open[-1]
+                self.lines.append((" ".join(words), self.tags, outside, self.path, article, not self.plain))
                 self.tags = 0
             self.text.clear()
+            self.plain = False
 
     def _close(self, tag: str) -> None:
         while True:
@@ -142,6 +145,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if not self.count.get("a") or any(self.count.get(h) for h in HEADINGS):
+            self.plain = self.plain or not data.isspace()
 
     @staticmethod
     def _words(attrs: list) -> set:
@@ -199,27 +204,32 @@ def main_blocks(html: str | None) -> list[str]:
     parser = _Lines()
     parser.feed(html)
     lines = parser.finish()
-    marked = any(article and not out for _, _, out, _, article in lines)
-    ratios = [
-        0.0 if out or (marked and not article) else len(text) / max(1, tags) for text, tags, out, _, article in lines
-    ]
+    if any(article and not out for _, _, out, _, article, _ in lines):
+        return [text for text, _, out, _, article, _ in lines if article and not out]
+    ratios = [0.0 if out else len(text) / max(1, tags) for text, tags, out, *_ in lines]
     if not any(ratios):
         return []
     smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     threshold = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    content = [i for i, s in enumerate(smooth) if s >= threshold and ratios[i]]
-    content = content or [i for i, r in enumerate(ratios) if r]
-    # Characters of the content inside each open element; deeper ones come later in a path.
-    inside: dict[int, int] = {}
-    for i in content:
-        for element in lines[i][3]:
-            inside[element] = inside.get(element, 0) + len(lines[i][0])
-    whole = inside[0]
-    depth = {element: k for i in content for k, element in enumerate(lines[i][3])}
-    region = max((e for e, chars in inside.items() if chars >= SHARE * whole), key=depth.__getitem__)
-    region = _widened(lines, region)
-    return [text for text, _, out, path, article in lines if not out and region in path and (article or not marked)]
+    content = {i for i, (s, r) in enumerate(zip(smooth, ratios, strict=True)) if r and max(s, r) >= threshold}
+    content |= _beside(lines, content)
+    # Elements around all of the content, the innermost last.
+    around = [k for k in zip(*(lines[i][3] for i in content), strict=False) if len(set(k)) == 1]
+    region = _widened(lines, around[-1][0])
+    return [text for text, _, out, path, *_ in lines if not out and region in path]
+
+
+def _beside(lines: list, content: set[int]) -> set[int]:
+    """Titles, first and last words: lines near content, up to an excluded line or one of links alone."""
+    found = set()
+    for step in (-1, 1):
+        for i in content:
+            for k in range(i + step, i + step * (RADIUS + 1), step):
+                if k in content or not 0 <= k < len(lines) or lines[k][2] or lines[k][5]:
+                    break
+                found.add(k)
+    return found
 
 
 def _widened(lines: list, region: int) -> int:

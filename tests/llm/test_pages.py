@@ -45,6 +45,17 @@ def test_blocks(html, blocks):
     assert main_blocks(html) == blocks
 
 
+@pytest.mark.parametrize("mark", ["article", "main", "div"])
+def test_titles_and_last_words_beside_an_inner_body_stay(mark):
+    body = f"<div class=body><p>{LONG}</p><p>{LONG}</p></div>"
+    menu = "".join(f"<li><a href=/{k}>{k}</a></li>" for k in "abcdef")
+    page = f"<body><div><ul>{menu}</ul></div><{mark}><h1><a href=/t>Title</a></h1><p>Intro.</p>{body}<p>Last words</p></{mark}></body>"
+    assert main_blocks(page) == ["Title", "Intro.", LONG, LONG, "Last words"]
+    long = f"<section><h2>Middle</h2>{f'<p>{LONG * 9}</p>' * 9}</section>"
+    page = f"<body><{mark}><section><h2>One</h2><p>In short.</p></section>{long}<section><h2>End</h2><p>{LONG}</p></section></{mark}></body>"
+    assert main_blocks(page) == ["One", "In short.", "Middle", *[LONG * 9] * 9, "End", LONG]
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", DIVS, "x"), (1, "u", DIVS, "x"), (2, None, None, None), (None, "", "", None), (3, "v", f"<p>{LONG * 5000}", "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
