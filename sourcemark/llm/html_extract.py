@@ -2,7 +2,9 @@
 
 The standard library's parser streams its events. Text between block-level tags is a line; its
 ratio is its characters over its tags, 0 inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts and reader comments. The ratios are smoothed with a Gaussian, lines above
+adverts, forms, scripts and reader comments. These are told by tag, role and by classes and ids that
+name nothing else ('main-menu', not 'has-sidebar'); an element so named, or a form, that holds most of the page's
+dense text is a wrapper and stays, but for notices, adverts, teasers, footers and comments. The ratios are smoothed with a Gaussian, lines above
 the threshold (the deviation of the smoothed ratios) cluster into content, with the lines just
 before and after a cluster that are not links alone, and the innermost element around all content
 is the content region. All its lines outside excluded elements are the text, also short ones, in
@@ -36,11 +38,11 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that never belong to the text, whatever they are called.
 OUTSIDE = frozenset(
-    "head title nav header footer aside form script style noscript template iframe object svg math canvas audio "
+    "head title nav header footer aside script style noscript template iframe object svg math canvas audio "
     "video select option button textarea dialog menu input label fieldset".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-# Words of a class or id that name such an element.
+# Words that name such an element, where a whole class or id is made of them and of PARTS.
 NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted "
     "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager header masthead topbar toolbar "
@@ -49,12 +51,36 @@ NAMES = frozenset(
     "subscription signup login search share sharing social comment comments commentlist discussion disqus reply replies "
     "respond form".split()
 )
+# Words that say which or what part of a named element; never enough by themselves.
+PARTS = frozenset(
+    "site page global main top bottom left right upper lower primary secondary inner outer box bar area list item items "
+    "link links button buttons icons block blocks container wrap wrapper section region panel zone slot unit group "
+    "post posts entry article articles thread title text message info the by my js id in on of and a".split()
+)
+# Short words that deny a name or make it a state; others of two letters are prefixes.
+DENIED = frozenset("no is un".split())
 COMMENTS = frozenset("comment comments commentlist discussion disqus reply replies".split())
+# Words that are also subjects: ids of headings and sections of an article.
+SUBJECTS = frozenset(
+    "discussion search related recommended notice notices form share sharing social navigation menu alert advertising "
+    "advertisement promotion subscription copyright disclaimer consent cookie cookies login signup reply respond header "
+    "overlay popup banner rail aside nav pagination newsletter sponsor".split()
+)
+# Elements that hold text themselves: inside an article they go by a SMALL name only.
+TEXTS = HEADINGS | {"p"}
 # Never left out by name, but that an article may be a reader's comment or a teaser.
 WHOLE = frozenset("html body main article".split())
 SMALL = COMMENTS | frozenset(
     "ad ads advert advertisement sponsored promo promoted promotion teaser related recommended widget".split()
 )
+# Elements of these names never stay for the text they hold.
+APART = COMMENTS | frozenset(
+    "respond ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted "
+    "related recommended recommendations teaser notice notices cookie cookies consent gdpr disclaimer footer colophon "
+    "copyright newsletter subscribe subscription".split()
+)
+# A named element with this share of the page's dense text is a wrapper and stays.
+MOST = 0.75
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 SIGMA = 1.0
@@ -66,15 +92,19 @@ _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADI
 class _Lines(HTMLParser):
     """Collects lines: text, tags, whether outside the content, the open elements, whether in an article, whether links alone."""
 
-    def __init__(self):
+    def __init__(self, spared: frozenset = frozenset()):
         super().__init__(convert_charrefs=True)
+        # Elements that stay whatever their names are.
+        self.spared = spared
         self.lines: list[tuple[str, int, bool, tuple, bool, bool]] = []
+        # Per line the element that leaves it out, if only by name; else 0.
+        self.named: list[int] = []
         self.text: list[str] = []
         # Whether some text of the line is outside links.
         self.plain = False
         self.tags = 0
-        # Open elements: (tag, number, outside, inside an article, in a header of an article).
-        self.open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # Open elements: (tag, number, outside, inside an article, in a header of an article, outside by whose name).
+        self.open: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, 0)]
         self.count: dict[str, int] = {}
         self.number = 0
         self.path: tuple | None = None
@@ -85,7 +115,8 @@ class _Lines(HTMLParser):
             if words:
                 if self.path is None:
                     self.path = tuple(e[1] for e in self.open)
-                _, _, outside, article, _ = self.open[-1]
+                _, _, outside, article, _, by = self.open[-1]
+                self.named.append(by)
                 self.lines.append((" ".join(words), self.tags, outside, self.path, article, not self.plain))
                 self.tags = 0
             self.text.clear()
@@ -111,17 +142,25 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, _, outside, article, titled = self.open[-1]
-        out = self._is_outside(tag, attrs)
+        _, _, outside, article, titled, by = self.open[-1]
+        self.number += 1
+        out, names = self._is_outside(tag, attrs), self._names(tag, attrs, article)
+        named = not out and self.number not in self.spared and (tag == "form" or bool(names))
+        if named and not outside:
+            by = self.number if APART.isdisjoint(names) else 0
+        elif out:
+            by = 0
+        out = out or named
+        if out and self.text:
+            self._flush()
         if out and article and not outside and not self._commentary(attrs) and self._is_header(tag, attrs):
             # An article's own header keeps its headings only.
             out, titled = True, True
         elif out:
             titled = False
         elif outside and titled and tag in HEADINGS:
-            outside, titled = False, False
-        self.number += 1
-        self.open.append((tag, self.number, outside or out, article or tag in ("article", "main"), titled))
+            outside, titled, by = False, False, 0
+        self.open.append((tag, self.number, outside or out, article or tag in ("article", "main"), titled, by))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.path = None
 
@@ -149,13 +188,32 @@ class _Lines(HTMLParser):
             self.plain = self.plain or not data.isspace()
 
     @staticmethod
-    def _words(attrs: list) -> set:
-        return {
-            word.lower()
-            for name, value in attrs
-            if value and name in ("class", "id")
-            for word in NAME_WORD.findall(value)
-        }
+    def _tokens(attrs: list) -> Iterator[tuple[str, set]]:
+        for name, value in attrs:
+            if value and name in ("class", "id"):
+                for token in value.split():
+                    yield name, {word.lower() for word in NAME_WORD.findall(token)}
+
+    def _words(self, attrs: list) -> set:
+        return {word for _, words in self._tokens(attrs) for word in words}
+
+    def _names(self, tag: str, attrs: list, article: bool) -> set:
+        """The NAMES of an element: those of classes and ids that say nothing else."""
+        found: set = set()
+        if not attrs or tag == "html" or tag == "body" or tag == "main":
+            return found
+        for name, words in self._tokens(attrs):
+            names = words & NAMES
+            if not names or any(len(w) > 2 or w in DENIED for w in words - NAMES - PARTS):
+                continue
+            if name == "id" and tag in HEADINGS:
+                names = set() if article else names - SUBJECTS
+            elif name == "id" and article and (tag == "section" or "section" in self._words(attrs)):
+                names -= SUBJECTS
+            if tag == "article" or (article and tag in TEXTS):
+                names &= SMALL
+            found |= names
+        return found
 
     def _commentary(self, attrs: list) -> bool:
         return not COMMENTS.isdisjoint(self._words(attrs))
@@ -165,20 +223,14 @@ class _Lines(HTMLParser):
 
     def _is_outside(self, tag: str, attrs: list) -> bool:
         out = tag in OUTSIDE
-        if not out and attrs:
-            if tag in WHOLE:
-                out = tag == "article" and not SMALL.isdisjoint(self._words(attrs))
-            else:
-                out = not NAMES.isdisjoint(self._words(attrs))
-                for name, value in attrs:
-                    if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                        out = True
-                    elif name == "role" and value in ROLES:
-                        out = True
-                    elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                        out = True
-        if out and self.text:
-            self._flush()
+        if not out and attrs and tag not in WHOLE:
+            for name, value in attrs:
+                if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                    out = True
+                elif name == "role" and value in ROLES:
+                    out = True
+                elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                    out = True
         return out
 
     def finish(self) -> list:
@@ -201,9 +253,15 @@ def main_blocks(html: str | None) -> list[str]:
     """The lines of a page's content region."""
     if not html:
         return []
-    parser = _Lines()
-    parser.feed(html)
-    lines = parser.finish()
+    spared: frozenset = frozenset()
+    while True:
+        parser = _Lines(spared)
+        parser.feed(html)
+        lines = parser.finish()
+        wrapper = _wrapper(lines, parser.named)
+        if not wrapper:
+            break
+        spared |= {wrapper}
     if any(article and not out for _, _, out, _, article, _ in lines):
         return [text for text, _, out, _, article, _ in lines if article and not out]
     ratios = [0.0 if out else len(text) / max(1, tags) for text, tags, out, *_ in lines]
@@ -220,6 +278,21 @@ def main_blocks(html: str | None) -> list[str]:
     return [text for text, _, out, path, *_ in lines if not out and region in path]
 
 
+def _wrapper(lines: list, named: list[int]) -> int:
+    """The element left out by its name alone that holds most of the dense text, or 0."""
+    if not any(named):
+        return 0
+    inside = [(by, len(text), len(text) / max(1, tags)) for (text, tags, out, *_), by in zip(lines, named, strict=True) if by or not out]
+    mean = sum(r for *_, r in inside) / len(inside)
+    least = math.sqrt(sum((r - mean) ** 2 for *_, r in inside) / len(inside))
+    chars: dict[int, int] = {}
+    for by, length, ratio in inside:
+        if ratio >= least:
+            chars[by] = chars.get(by, 0) + length
+    most = max(chars, key=chars.__getitem__)
+    return most if chars[most] >= MOST * sum(chars.values()) else 0
+
+
 def _beside(lines: list, content: set[int]) -> set[int]:
     """Titles, first and last words: lines near content, up to an excluded line or one of links alone."""
     found = set()

@@ -56,6 +56,26 @@ def test_titles_and_last_words_beside_an_inner_body_stay(mark):
     assert main_blocks(page) == ["One", "In short.", "Middle", *[LONG * 9] * 9, "End", LONG]
 
 
+@pytest.mark.parametrize("wrap", ["wrap has-sidebar", "layout no-sidebar", "content share-enabled", "widget", "modal overlay"])
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_wrappers_named_like_parts_stay(wrap, mark):
+    parts = f"<div class='sidebar-left'><p>{LONG}</p></div><div id=comments><p>{LONG * 9}</p></div><div class='wp-ad-box'>{LONG}</div>"
+    page = f"<div class='{wrap}'><{mark}><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></{mark}>{parts}</div>"
+    assert main_blocks(f"<body>{page}<div class='main-menu'><p>Menu</p></div></body>") == ["Title", LONG, LONG, LONG]
+    assert main_blocks(f"<form id=aspnet>{page}</form>") == ["Title", LONG, LONG, LONG]
+
+
+def test_sections_and_headings_of_an_article_are_not_named_by_subjects():
+    page = f"""<article><h2 id="related-work">Related</h2><p>{LONG}</p><h2 id="search">Search</h2><p class="notice">Note.</p>
+<section id="discussion"><p>{LONG}</p></section><section id="comments"><p>{LONG}</p></section><p class="ad">Buy</p></article>"""
+    assert main_blocks(page) == ["Related", LONG, "Search", "Note.", LONG]
+
+
+@pytest.mark.parametrize("name", ["comments", "cookie-notice", "advert", "related"])
+def test_comments_notices_and_adverts_never_stay(name):
+    assert main_blocks(f"<div><p>{LONG}</p></div><div class='{name}'><p>{LONG * 20}</p></div>") == [LONG]
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", DIVS, "x"), (1, "u", DIVS, "x"), (2, None, None, None), (None, "", "", None), (3, "v", f"<p>{LONG * 5000}", "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
