@@ -7,7 +7,8 @@ and all words of such a match are hit. An item of fewer than ten words is one wi
 
 Scale: documents are never moved. An automaton holds at most ``BLOCK_WORDS`` item words, which
 bounds its broadcast; a larger benchmark is dealt over several automata. These then pass over a
-written copy of the documents one after the other, and their spans are united per row. Items
+written copy of the documents one after the other, and their spans are united per row before
+coverage is judged and anything is cut; rows that were cut pass again until nothing is. Items
 longer than a chunk are cut into chunks that overlap by a window less one word.
 
 Edge cases: a null or empty text has no words and is never hit; null or empty items have no
@@ -249,22 +250,26 @@ def scan(
         block = blocks[0]
         return rows.mapInArrow(lambda it: _found(block, window, it, "doc_id"), f"doc_id {id_type}, {_FOUND}")
     written = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    merged = _merged(written, blocks, window)
+    return written.select("doc_id", "row").join(merged, "row").drop("row")
+
+
+def _merged(rows: DataFrame, blocks: list, window: int, hit_only: bool = False) -> DataFrame:
+    """What all ``blocks`` find in ``rows`` (row, text), united per row; ``hit_only``: only rows with spans."""
 
     def one_pass(block) -> DataFrame:
-        return settle(
-            written.select("row", "text").mapInArrow(lambda it: _found(block, window, it, "row"), f"row bigint, {_FOUND}")
-        )
+        found = rows.select("row", "text").mapInArrow(lambda it: _found(block, window, it, "row"), f"row bigint, {_FOUND}")
+        return settle(found.where(F.size("spans") > 0) if hit_only else found)
 
     passes = [one_pass(block) for block in blocks]
     merged = passes[0]
     for other in passes[1:]:
         merged = merged.unionByName(other)
-    merged = merged.groupBy("row").agg(
+    return merged.groupBy("row").agg(
         F.first("n_words").alias("n_words"),
         _united(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    return written.select("doc_id", "row").join(merged, "row").drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -298,12 +303,17 @@ def cleaned(text: bytes, automaton: Automaton, min_words: int, coverage: float)
         if not spans:
             return text
         found_before = True
-        out, at = [], 0
-        for first, last in spans:
-            out.append(text[at : places[first][0]])
-            at = places[last][1]
-        out.append(text[at:])
-        text = b"".join(out)
+        text = _without(text, places, spans)
+
+
+def _without(text: bytes, places: list[tuple[int, int]], spans: list) -> bytes:
+    """``text`` without the words of ``spans`` and what lies between them."""
+    out, at = [], 0
+    for first, last in spans:
+        out.append(text[at : places[first][0]])
+        at = places[last][1]
+    out.append(text[at:])
+    return b"".join(out)
 
 
 def _clean(block, window, min_words, coverage, column, batches) -> Iterator[pa.RecordBatch]:
@@ -334,25 +344,72 @@ def remove_contamination(
 ) -> DataFrame:
     """``docs`` without hit spans of at least ``min_words`` words and without documents hit to ``coverage``.
 
-    All columns stay; ``n_chars``, where there is one, counts the new text. Several automata clean
-    one after the other, each what the one before it left.
+    All columns stay; ``n_chars``, where there is one, counts the new text. With several automata the
+    spans of all of them are united before they are judged and cut, as one automaton would find them.
     """
-    column, flag = free_name(docs, "_cleaned_text_"), free_name(docs, "_changed_")
-    out = docs
-    for block in _item_blocks(benchmark, window, block_words):
-        names = [f"c{i}" for i in range(len(out.columns))]
-        column = names[out.columns.index("text")]
-        numbered = out.toDF(*names)
+    blocks = _item_blocks(benchmark, window, block_words)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered, column = docs.toDF(*names), names[docs.columns.index("text")]
+    if len(blocks) == 1:
         schema = ", ".join(f"{n} {numbered.schema[n].dataType.simpleString()}" for n in names)
-        cleaned_rows = numbered.mapInArrow(
-            lambda it, block=block, column=column: _clean(block, window, min_words, coverage, column, it),
-            f"{schema}, changed boolean",
-        ).toDF(*out.columns, flag)
-        if "n_chars" in out.columns:
-            changed = F.when(F.col(flag), F.length("text")).otherwise(F.col("n_chars"))
-            cleaned_rows = cleaned_rows.withColumn("n_chars", changed.cast(out.schema["n_chars"].dataType))
-        out = cleaned_rows.drop(flag)
-    return out
+        out = numbered.mapInArrow(
+            lambda it: _clean(blocks[0], window, min_words, coverage, column, it), f"{schema}, changed boolean"
+        )
+    else:
+        numbered = settle(numbered.withColumn("row", F.monotonically_increasing_id()))
+        new = _cut_by_all(numbered.select("row", F.col(column).alias("text")), blocks, window, min_words, coverage)
+        new = new.select("row", F.col("text").alias("new"), F.lit(True).alias("changed"))
+        out = numbered.join(new, "row", "left").where("changed IS NULL OR new IS NOT NULL")
+        out = out.withColumn(column, F.when(F.col("changed"), F.col("new")).otherwise(F.col(column)))
+        out = out.select(*names, F.coalesce("changed", F.lit(False)).alias("changed"))
+    flag = free_name(docs, "_changed_")
+    out = out.toDF(*docs.columns, flag)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col(flag), F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return out.drop(flag)
+
+
+def _cut_by_all(rows: DataFrame, blocks: list, window: int, min_words: int, coverage: float) -> DataFrame:
+    """The hit ones of ``rows`` (row, text) with their last text; null if too much of it was hit.
+
+    Cutting can bring new matches of any automaton together, so rows that were cut go through all again.
+    """
+    done, first = None, True
+    while True:
+        hit = rows.join(_merged(rows, blocks, window, hit_only=True).select("row", "spans"), "row")
+        limit = coverage if first else None
+        after = settle(
+            hit.select("row", "text", "spans").mapInArrow(
+                lambda it, limit=limit: _cut(min_words, limit, it), "row bigint, text string, again boolean"
+            )
+        )
+        # A row that goes round again is final only in the round that cuts it no more, hit or not.
+        last = after.select("row", "text")
+        done = last if done is None else done.join(last.select("row"), "row", "left_anti").unionByName(last)
+        rows, first = after.where("again").select("row", "text"), False
+        if rows.isEmpty():
+            return done
+
+
+def _cut(min_words: int, coverage: float | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans of ``min_words`` words or more; null from ``coverage`` on."""
+    for batch in batches:
+        texts, again = [], []
+        for text, found in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            text = text.as_py()
+            places = [m.span() for m in WORD_BYTES.finditer(text.lower())]
+            spans = [(s["first"], s["last"]) for s in found]
+            if coverage is not None and sum(b - a + 1 for a, b in spans) >= coverage * len(places):
+                texts.append(None)
+                again.append(False)
+                continue
+            spans = [(a, b) for a, b in spans if b - a + 1 >= min_words]
+            texts.append(_without(text, places, spans))
+            again.append(bool(spans))
+        yield pa.record_batch(
+            [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(again)], ["row", "text", "again"]
+        )
 
 
 ORACLE_SQL = f"""

@@ -102,6 +102,28 @@ def test_cleaned_documents_have_no_hit_and_others_stay(spark, block_words):
     assert all(not brute(r.text, ITEMS)[4] for r in left.values())
 
 
+def test_several_automata_clean_as_one(spark):
+    filler = [sentence(70 + i, 60) for i in range(4)]
+    passages = [sentence(80 + i, 30) for i in range(6)]
+    inner = passages[1].split()
+    nested = " ".join([*passages[0].split()[:15], *inner[:9], *passages[2].split(), *inner[9:], *passages[0].split()[15:]])
+    rows = [(0, " ".join(filler)), (1, None), (2, ""), (3, passages[3])]
+    # Hit to more than half, but to less by each item; what one item leaves joins to another.
+    rows += [(10 + i, f"{filler[0][:200]} {passages[i]} {passages[(i + 1) % 6]}") for i in range(6)]
+    rows += [(20 + i, f"{filler[i]} {filler[1]} {nested} {filler[2]} {passages[i]}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row", docs_flag())
+    items = [*enumerate(passages)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for min_words in (12, 1):
+        one, several = (
+            sorted(map(tuple, decontaminate.remove_contamination(docs, bench, min_words=min_words, block_words=n).collect()))
+            for n in (decontaminate.BLOCK_WORDS, 40)
+        )
+        assert several == one
+        assert {r[0] for r in one} == {0, 1, 2, 20, 21, 22, 23}
+    assert not any(brute(r[1], items)[4] for r in several)
+
+
 def docs_flag():
     from pyspark.sql import functions as F
 
