@@ -10,18 +10,18 @@ exp(``SHARPNESS`` * score).
 n-grams are three consecutive bytes (case and signs as they are) and, as the n-gram of a
 repetition, whether a word equals the one before it.
 
-``k`` is the number of documents that score above a cut. The cut is fitted on the labelled rows
-that the target model has not seen: rejecting a good document costs ``CAUTION`` times as much there
-as keeping a bad one, and where a lower cut still lets in no more than ``LEAK`` of the bad ones, it is
-taken instead.
+``k`` is the number of documents whose perturbed score is above a cut. The cut is fitted on the
+perturbed scores of labelled rows that the target model has not seen: of the cuts that lose at most
+``LOSS`` of the good ones, one that keeps the fewest bad ones, and of these one that loses the fewest
+good ones. Toxic rows are bad ones, whatever their quality.
 
 Scale: the raw model is counted over all documents in one pass, each task sending its bucket sums;
 the models have ``BUCKETS`` rows. The labelled sample has at most ``SAMPLE`` rows per label, so it
 is broadcast. The k-th highest score is found by counting score digits, at most 65,536 at a time,
 never by sorting documents.
 
-Edge cases: a null or empty text has no n-gram and is rejected. Null labels are ignored; of
-several labels of one document the worst counts. Without a labelled good document nothing is
+Edge cases: a null or empty text has no n-gram and is rejected. Null labels are ignored, but a toxic
+row needs no quality; of several labels of one document the worst counts. Without a labelled good document nothing is
 rejected but texts without n-grams. Documents of one id and one text share score and noise, and
 ties at the k-th place are all kept. Extra columns are ignored by ``score`` and kept by
 ``resample``. An empty table gives an empty table.
@@ -45,7 +45,8 @@ BUCKETS = 1 << 14
 SAMPLE = 20_000
 PRIOR = 200.0
 SHARPNESS = 200.0
-CAUTION = 20
+# Share of held-out good documents that the cut may lose, and the share of documents of quality 0 that tests let pass.
+LOSS = 0.005
 LEAK = 0.05
 SMOOTH = 1.0
 SEED = 2
@@ -114,14 +115,13 @@ class Model:
 def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` good and ``sample`` other documents: ``id, good, held`` (out of the target)."""
     worst = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+        labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic <> 0)")
         .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.min(((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"),
-             F.min((F.col("quality") > 0).cast("int")).alias("fair"))
+        .agg(F.min(F.expr("coalesce(quality, 0) > 0 AND coalesce(toxic, 0) = 0").cast("int")).alias("good"))
     )
     order = F.xxhash64(F.lit(SEED), F.col("id"))
     good = worst.where("good = 1").orderBy(order, "id").limit(sample)
-    bad = worst.where("fair = 0").orderBy(order, "id").limit(sample)
+    bad = worst.where("good = 0").orderBy(order, "id").limit(sample)
     return good.unionByName(bad).select("id", (F.col("good") == 1).alias("good"), (F.pmod(order, F.lit(2)) == 0).alias("held"))
 
 
@@ -190,17 +190,16 @@ def _seeded():
     return F.xxhash64(F.lit(SEED), F.col("doc_id"))
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray, caution: int = CAUTION, leak: float = LEAK) -> float:
-    """The cut of least cost between scores of good and bad documents, or a lower one of little leak."""
+def best_cut(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
+    """The cut that lets in the fewest bad documents, of those that lose at most ``loss`` of the good."""
     if not len(good) or not len(bad):
         return -np.inf
     points = np.unique(np.concatenate([good, bad]))
     cuts = np.concatenate([[-np.inf], (points[1:] + points[:-1]) / 2])
     lost = np.searchsorted(np.sort(good), cuts)
     let_in = len(bad) - np.searchsorted(np.sort(bad), cuts)
-    best = int(np.argmin(caution * lost + let_in))
-    tight = np.flatnonzero(let_in <= leak * len(bad))
-    return float(cuts[min(best, int(tight[0]))]) if len(tight) else float(cuts[best])
+    allowed = lost <= loss * len(good)
+    return float(cuts[np.lexsort((lost[allowed], let_in[allowed]))[0]])
 
 
 def kth_key(scored: DataFrame, k: int) -> int:
@@ -223,10 +222,10 @@ def draw(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Data
     known = settle(labelled_sample(labels, sample))
     model = fit(docs, labels, sample)
     scored = settle(score(docs, model, known))
-    held = scored.where("key >= 0 AND (NOT good OR held)").select("good", "score").toPandas()  # at most 2 * sample ids
-    cut = best_cut(held["score"][held["good"]].to_numpy(), held["score"][~held["good"]].to_numpy())
+    held = scored.where("key >= 0 AND (NOT good OR held)").select("good", "key").toPandas()  # at most 2 * sample ids
+    cut = best_cut(held["key"][held["good"]].to_numpy(), held["key"][~held["good"]].to_numpy())
     able = scored.where("key >= 0")
-    k = able.where(F.col("score") >= F.lit(cut)).count()
+    k = able.where(F.col("key") >= F.lit(cut)).count()
     return scored, Model(model.ratios, kth_key(able, k) if k else LARGEST + 1)
 
 

@@ -81,6 +81,33 @@ def test_cuts():
     assert qc.best_cut(good, np.array([])) == qc.best_cut(np.array([]), bad) == -np.inf
 
 
+def test_cuts_lose_no_more_good_ones_than_stated():
+    draw = np.random.default_rng(3)
+    good, bad = draw.normal(0, 1, 2000), draw.normal(-3, 1, 500)
+    cut = qc.best_cut(good, bad)
+    assert 0 < (good < cut).mean() <= qc.LOSS
+    assert (bad >= cut).sum() == min((bad >= c).sum() for c in np.sort(good)[: int(qc.LOSS * 2000) + 1])
+    # No bad one is let in where a cut without error exists.
+    assert (np.linspace(-9, -1, 100) >= qc.best_cut(np.linspace(0, 1, 100), np.linspace(-9, -1, 100))).sum() == 0
+
+
+def test_toxic_rows_are_bad_ones(spark):
+    labels = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, None, 1), (5, None, None), (6, 1, None), (6, 1, 1), (7, 1, None)]
+    sample = qc.labelled_sample(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert {r.id: r.good for r in sample.collect()} == {1: True, 2: False, 3: False, 4: False, 6: False, 7: True}
+
+
+def test_kept_rates_of_labelled_documents(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = qc.classify(docs, labels).join(labels, "doc_id").selectExpr(
+        "kept", "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS kind"
+    )
+    rates = {r.kind: r.rate for r in rows.groupBy("kind").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
+    assert rates["good"] >= 0.99
+    assert rates["bad"] <= 0.01
+    assert rates["toxic"] <= 0.85
+
+
 def test_odd_documents_and_empty_tables(spark):
     docs, labels = odd_documents(spark), labelled(spark)[1]
     rows = qc.classify(docs, labels).collect()
