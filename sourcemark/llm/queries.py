@@ -15,6 +15,7 @@ from sourcemark.llm import (
     quality_rules,
     token_counts,
     token_files,
+    vector_codes,
     warc,
 )
 from sourcemark.llm.common import read_table
@@ -76,6 +77,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every vector."""
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_classifier": op2_quality_classifier,
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -96,4 +103,5 @@ ORACLES = {
     "op8_chat": chat.oracle_sql(),
     "op9_mixing": mixing.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
