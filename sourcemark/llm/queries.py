@@ -11,6 +11,7 @@ from sourcemark.llm import (
     html_extract,
     mixing,
     near_dup,
+    personal_data,
     quality_classifier,
     quality_rules,
     token_counts,
@@ -77,6 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return personal_data.digest(personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and errors of every vector."""
     return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
 
