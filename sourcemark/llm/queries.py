@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sourcemark.llm import (
+    alignment,
     chat,
     decontaminate,
     html_extract,
@@ -23,6 +24,7 @@ from sourcemark.llm.common import read_table
 
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizations of every document."""
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), *ALIGNED)
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return personal_data.digest(personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
@@ -99,6 +106,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
