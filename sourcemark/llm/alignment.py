@@ -45,11 +45,16 @@ from sourcemark.llm.vocabulary import FILE_LIMIT, byte_letters, kept, shared_fil
 # Links a file holds before it is closed; code points aligned at once; tokens kept per worker.
 FILE_LINKS = 3_000_000
 BLOCK = 1 << 19
-KEPT_TOKENS = 2_000_000
+KEPT_TOKENS = 4_000_000
 B_BITS = 20
+# Width of the first probe.
+PROBE = 8
 
 # A single space between other characters: there both vocabularies start a new token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# Latin letters, and full stops or commas after them: the byte-level splitter makes a word and one run of signs
+# of these, so the model can have them at once. The library's own splitter cuts all other pieces.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,]*)")
 SPACE_MARK = "▁"
 
 
@@ -63,67 +68,72 @@ class Pair:
     link_b: np.ndarray
 
 
-def _run_length(a: list[int], b: list[int], i: int, j: int) -> int:
-    """Ends that agree from ``(i, j)`` on at the shift ``j - i``; at least one does."""
-    length, width = 1, 1
-    top = min(len(a) - i, len(b) - j)
-    while length < top and a[i + length : i + length + width] == b[j + length : j + length + width]:
+def _run_length(a: bytes, b: bytes, i: int, j: int) -> int:
+    """Ends (of 8 bytes) that agree from ``(i, j)`` on at the shift ``j - i``; at least one does."""
+    at, to, width = 8 * i + 8, 8 * j + 8, 8 * PROBE
+    top = min(len(a) - at, len(b) - to)
+    length = 0
+    while length < top and a[at + length : at + length + width] == b[to + length : to + length + width]:
         length += width
         width *= 2
     if length >= top:
-        return top
+        return top // 8 + 1
     # The slice of this width disagrees somewhere: halve it down to the first end that does.
-    while width > 1:
+    while width > 8:
         width //= 2
-        if a[i + length : i + length + width] == b[j + length : j + length + width]:
+        if a[at + length : at + length + width] == b[to + length : to + length + width]:
             length += width
-    return min(length, top)
+    return min(length, top) // 8 + 1
 
 
-def align(a: list[int], b: list[int]) -> Pair:
+def align(a: np.ndarray, b: np.ndarray) -> Pair:
     """Groups between common ends, and all index pairs whose byte ranges overlap.
 
     Both are strictly ascending and have the same last end. ``a_ends`` and ``b_ends`` are the
     indices at which the groups end, in order.
     """
-    runs: list[tuple[int, int, int]] = []
-    irregular: list[tuple[int, int]] = []
-    link_a: list[int] = []
-    link_b: list[int] = []
+    runs: list[int] = []
+    irregular: list[int] = []
+    left, right = a.tolist(), b.tolist()
+    left_bytes, right_bytes = a.tobytes(), b.tobytes()
     i = j = 0
-    count = len(a)
+    count = len(left)
     while i < count:
-        x, y = a[i], b[j]
+        x, y = left[i], right[j]
         if x == y:
-            length = _run_length(a, b, i, j)
-            runs.append((i, j, length))
+            length = _run_length(left_bytes, right_bytes, i, j)
+            runs += (i, j, length)
             i += length
             j += length
             continue
+        irregular += (i, j)
         while x != y:
-            link_a.append(i)
-            link_b.append(j)
             if x < y:
                 i += 1
-                x = a[i]
+                x = left[i]
             else:
                 j += 1
-                y = b[j]
-        link_a.append(i)
-        link_b.append(j)
+                y = right[j]
         i += 1
         j += 1
-        irregular.append((i, j))
+        irregular += (i, j)
     starts_a, starts_b, lengths = np.array(runs, dtype=np.int64).reshape(-1, 3).T
-    steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    run_a, run_b = np.repeat(starts_a, lengths) + steps, np.repeat(starts_b, lengths) + steps
-    ends = np.array(irregular, dtype=np.int64).reshape(-1, 2)
-    a_ends, b_ends = np.concatenate([run_a + 1, ends[:, 0]]), np.concatenate([run_b + 1, ends[:, 1]])
-    order = np.argsort(a_ends, kind="stable")
-    all_a = np.concatenate([run_a, np.array(link_a, dtype=np.int64)])
-    all_b = np.concatenate([run_b, np.array(link_b, dtype=np.int64)])
-    by = np.argsort(all_a + all_b, kind="stable")
-    return Pair(a_ends[order], b_ends[order], all_a[by], all_b[by])
+    run_a, run_b = _steps(starts_a, lengths), _steps(starts_b, lengths)
+    first_a, first_b, last_a, last_b = np.array(irregular, dtype=np.int64).reshape(-1, 4).T
+    # Links of the irregular groups: one for every stretch between neighbouring ends of either side.
+    inner_a, inner_b = _steps(first_a, last_a - first_a), _steps(first_b, last_b - first_b)
+    met = np.sort(np.concatenate([a[inner_a], b[inner_b]]), kind="stable")
+    met = met[np.concatenate([met[1:] != met[:-1], [True]])] if len(met) else met
+    link_a = np.concatenate([run_a, inner_a[np.searchsorted(a[inner_a], met)]])
+    link_b = np.concatenate([run_b, inner_b[np.searchsorted(b[inner_b], met)]])
+    order = np.argsort(link_a + link_b, kind="stable")
+    a_ends, b_ends = np.concatenate([run_a + 1, last_a]), np.concatenate([run_b + 1, last_b])
+    return Pair(np.sort(a_ends, kind="stable"), np.sort(b_ends, kind="stable"), link_a[order], link_b[order])
+
+
+def _steps(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for every start, as many as its length says."""
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
 class Column:
@@ -132,7 +142,7 @@ class Column:
     def __init__(self):
         self.values, self.count = np.zeros(1 << 16, dtype=np.int64), 0
 
-    def extend(self, new: list[int]) -> None:
+    def extend(self, new: list[int] | np.ndarray) -> None:
         last = self.count + len(new)
         if last > len(self.values):
             self.values = np.concatenate([self.values[: self.count], np.zeros(last, dtype=np.int64)])
@@ -143,21 +153,35 @@ class Column:
 class Side:
     """Tokens of pieces of text, one after the other: ids, byte lengths, and where a piece's tokens start."""
 
-    def __init__(self):
+    def __init__(self, token_bytes: list[bytes]):
+        self.token_bytes = token_bytes
+        self.token_sizes = np.array([len(t) for t in token_bytes], dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
         self.ids, self.sizes, self.starts = Column(), Column(), Column()
         self.starts.extend([0])
 
-    def extend(self, ids: list[list[int]], sizes: list[list[int]]) -> None:
-        ends = np.cumsum([len(piece) for piece in ids]) + self.ids.count
-        self.ids.extend(list(chain.from_iterable(ids)))
-        self.sizes.extend(list(chain.from_iterable(sizes)))
-        self.starts.extend(ends)
+    def extend(self, ids: list[list[int]], wholes: list[bytes]) -> list[int]:
+        """Adds the tokens of some pieces; which of them do not spell the bytes of theirs."""
+        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = list(chain.from_iterable(ids))
+        self.starts.extend(np.cumsum(counts) + self.ids.count)
+        self.ids.extend(flat)
+        sizes = self.token_sizes[flat]
+        self.sizes.extend(sizes)
+        # All bytes at once; if those agree, and the sizes of all pieces do, every piece does.
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        spelled = b"".join(map(self.token_bytes.__getitem__, flat))
+        if spelled == b"".join(wholes) and (np.diff(ends) == np.fromiter(map(len, wholes), dtype=np.int64)).all():
+            return []
+        return [k for k, whole in enumerate(wholes) if spelled[ends[k] : ends[k + 1]] != whole]
 
     def tokens(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and byte lengths of the pieces at ``slots``, in order, and tokens per piece."""
         starts = self.starts.values
         counts = starts[slots + 1] - starts[slots]
-        at = np.arange(counts.sum()) + np.repeat(starts[slots] - (np.cumsum(counts) - counts), counts)
+        at = _steps(starts[slots], counts)
         return self.ids.values[at], self.sizes.values[at], counts
 
 
@@ -175,15 +199,18 @@ class Tokenizers:
             raise ValueError("the A vocabulary must be byte-level without a normaliser")
         self.a = Tokenizer.from_str(a_file)
         self.a.encode_special_tokens = True
-        byte_of = {letter: byte for byte, letter in byte_letters().items()}
-        self.a_bytes = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        self.letters = byte_letters()
+        byte_of = {letter: byte for byte, letter in self.letters.items()}
+        a_bytes = [b""] * (max(spec["model"]["vocab"].values()) + 1)
+        for token, i in spec["model"]["vocab"].items():
+            a_bytes[i] = bytes(byte_of[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(b_file)
-        self.b_bytes = [
+        b_bytes = [
             bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace(SPACE_MARK, " ").encode() for p in model.pieces
         ]
-        if len(self.b_bytes) > 1 << B_BITS:
+        if len(b_bytes) > 1 << B_BITS:
             raise ValueError(f"the B vocabulary has over {1 << B_BITS} pieces")
         norm = model.normalizer_spec
         self.cuts = (
@@ -194,15 +221,28 @@ class Tokenizers:
             and not any(SPACE_MARK in p.piece.lstrip(SPACE_MARK) for p in model.pieces)
         )
         # For the digest: an A id inside or at the end of its group, a B id inside or at the end.
-        self.spelled = [f"{i}{sign}" for signs, n in ((",|", max(self.a_bytes) + 1), (",;", len(self.b_bytes))) for sign in signs for i in range(n)]
-        self.a_count, self.b_count = max(self.a_bytes) + 1, len(self.b_bytes)
+        self.a_count, self.b_count = len(a_bytes), len(b_bytes)
+        self.spelled = [f"{i}{sign}" for signs, n in ((",|", self.a_count), (",;", self.b_count)) for sign in signs for i in range(n)]
+        self.side_a, self.side_b = Side(a_bytes), Side(b_bytes)
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.side_a, self.side_b = Side(), Side()
+        self.side_a.forget()
+        self.side_b.forget()
         self.wrong: set[int] = set()
 
+    def _a_ids(self, piece: str, spaced: str) -> list[int]:
+        plain = _PLAIN.fullmatch(piece)
+        if not plain:
+            return self.a.encode(spaced, add_special_tokens=False).ids
+        word, signs = plain.groups()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        tokens = self.a.model.tokenize(self.letters[32] + letters)
+        if signs:
+            tokens += self.a.model.tokenize(signs)
+        return [t.id for t in tokens]
+
     def pieces(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
@@ -211,20 +251,19 @@ class Tokenizers:
         if self.side_a.ids.count + self.side_b.ids.count > KEPT_TOKENS:
             self._forget()
         slots = self.slots
-        new = [p for p in dict.fromkeys(pieces) if p not in slots]
+        found = list(map(slots.get, pieces))
+        new = list(dict.fromkeys(p for p, slot in zip(pieces, found, strict=True) if slot is None)) if None in found else []
         if new:
+            first = len(slots)
+            slots.update(zip(new, range(first, first + len(new)), strict=True))
+            spaced = [" " + piece for piece in new]
+            a_ids = list(map(self._a_ids, new, spaced))
             b_ids = self.b.encode(new, num_threads=1)
-            a_ids = [self.a.encode(" " + piece, add_special_tokens=False).ids for piece in new]
-            a_bytes = [list(map(self.a_bytes.__getitem__, ids)) for ids in a_ids]
-            b_bytes = [list(map(self.b_bytes.__getitem__, ids)) for ids in b_ids]
-            for slot, (piece, in_a, in_b) in enumerate(zip(new, a_bytes, b_bytes, strict=True), len(slots)):
-                slots[piece] = slot
-                whole = b" " + piece.encode()
-                if b"".join(in_a) != whole or b"".join(in_b) != whole:
-                    self.wrong.add(slot)
-            self.side_a.extend(a_ids, [list(map(len, x)) for x in a_bytes])
-            self.side_b.extend(b_ids, [list(map(len, x)) for x in b_bytes])
-        return np.fromiter(map(slots.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            wholes = [piece.encode() for piece in spaced]
+            for side, ids in ((self.side_a, a_ids), (self.side_b, b_ids)):
+                self.wrong.update(first + k for k in side.extend(ids, wholes))
+            found = [slots[p] if slot is None else slot for p, slot in zip(pieces, found, strict=True)]
+        return np.array(found, dtype=np.int64)
 
 
 class _Document:
@@ -287,7 +326,7 @@ def documents(texts: Iterator[str | None], tokenizers: Tokenizers) -> Iterator[t
             bad = [False] * len(parts)
         a_ids, a_sizes, a_counts = tokenizers.side_a.tokens(slots)
         b_ids, b_sizes, b_counts = tokenizers.side_b.tokens(slots)
-        found = align(np.cumsum(a_sizes).tolist(), np.cumsum(b_sizes).tolist())
+        found = align(np.cumsum(a_sizes), np.cumsum(b_sizes))
         spelled = _spelled(a_ids, b_ids, found, tokenizers)
         # Texts end at common ends, so each owns whole groups and links.
         a_at = np.concatenate([[0], np.cumsum(a_counts)])[bounds]
@@ -311,16 +350,16 @@ def documents(texts: Iterator[str | None], tokenizers: Tokenizers) -> Iterator[t
 
 def _spelled(a_ids: np.ndarray, b_ids: np.ndarray, found: Pair, tokenizers: Tokenizers) -> list[str]:
     """Ids with the sign that follows each, group by group: first the A ids, then the B ids."""
-    a_group = np.searchsorted(found.a_ends, np.arange(len(a_ids)), side="right")
-    b_group = np.searchsorted(found.b_ends, np.arange(len(b_ids)), side="right")
     a_last = np.zeros(len(a_ids), dtype=np.int64)
     b_last = np.zeros(len(b_ids), dtype=np.int64)
     a_last[found.a_ends - 1] = 1
     b_last[found.b_ends - 1] = 1
     out = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
-    earlier_b = np.concatenate([[0], found.b_ends])
-    out[np.arange(len(a_ids)) + earlier_b[a_group]] = a_ids + a_last * tokenizers.a_count
-    out[np.arange(len(b_ids)) + found.a_ends[b_group]] = 2 * tokenizers.a_count + b_ids + b_last * tokenizers.b_count
+    # Before a group's A ids stand the B ids of earlier groups; before its B ids, its own A ids too.
+    earlier = np.concatenate([[0], found.b_ends[:-1]]) if len(found.b_ends) else found.b_ends
+    a_sizes, b_sizes = (np.diff(ends, prepend=0) for ends in (found.a_ends, found.b_ends))
+    out[np.arange(len(a_ids)) + np.repeat(earlier, a_sizes)] = a_ids + a_last * tokenizers.a_count
+    out[np.arange(len(b_ids)) + np.repeat(found.a_ends, b_sizes)] = 2 * tokenizers.a_count + b_ids + b_last * tokenizers.b_count
     return list(map(tokenizers.spelled.__getitem__, out.tolist()))
 
 
@@ -335,7 +374,9 @@ class _File:
     def write(self, folder: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The file's URI and its distinct pairs with their counts, the commonest first."""
         keys = np.concatenate([r[4] for r in self.rows]) if self.rows else np.zeros(0, dtype=np.int64)
-        pairs, numbers, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        coded = pa.array(keys).dictionary_encode()
+        pairs, numbers = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        counts = np.bincount(numbers, minlength=len(pairs))
         order = np.argsort(-counts, kind="stable")
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)

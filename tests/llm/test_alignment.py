@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -104,7 +105,7 @@ def test_align_against_sets():
                 a.append(end)
             elif kind < share[2]:
                 b.append(end)
-        found = al.align(a, b)
+        found = al.align(np.array(a), np.array(b))
         common = sorted(set(a) & set(b))
         assert [a[i - 1] for i in found.a_ends] == common == [b[j - 1] for j in found.b_ends]
         links = [(sum(e < x for e in a), sum(e < x for e in b)) for x in sorted({*a, *b})]
@@ -113,10 +114,13 @@ def test_align_against_sets():
 
 @pytest.mark.parametrize("length", range(1, 40))
 def test_one_to_one_stretches_of_every_length(length):
+    def run(*sides):
+        return al._run_length(*(np.array(side, dtype=np.int64).tobytes() for side in sides), 0, 0)
+
     ends = list(range(1, length + 1))
-    assert al._run_length(ends, ends, 0, 0) == length
-    assert al._run_length([*ends, length + 2, length + 4], [*ends, length + 1, length + 4], 0, 0) == length
-    assert al._run_length([*ends, length + 4], [*ends, length + 1, length + 4], 0, 0) == length
+    assert run(ends, ends) == length
+    assert run([*ends, length + 2, length + 4], [*ends, length + 1, length + 4]) == length
+    assert run([*ends, length + 4], [*ends, length + 1, length + 4]) == length
 
 
 def test_odd_documents(spark, libraries):
