@@ -1,18 +1,45 @@
-"""The resolver on golden quotes and against brute force."""
+"""The resolver on drawn texts, judged by brute force."""
 
 import random
 import re
 import unicodedata
 
+import pytest
+
 from sourcemark.operators import evidence as ev
 
-SOURCE = (
-    "Harbour log, third quarter\nKeeper on duty: Odile Brandt\n\nTRAFFIC\n"
-    "Pier North — night pilot (18 May to 2 June)\n"
-    "\tGuided forty-one freighters through fog and\n"
-    "\tdrifting ice, without a single grounding.\n\nSTORES\nRope, Lamp oil, Tar, Canvas\n"
-)
-THAI = "ท่าเรือ: ประ ภา คาร ฝั่ง ตะวัน ออก"
+# Ranges of code points that words are drawn from, and what may stand between words.
+SCRIPTS = [(0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0xE01, 0xE2E), (0x4E00, 0x4E80), (0x1F600, 0x1F640), (0x21, 0x2F)]
+GAPS = [" ", "  ", "\n", "\t", "\n\n ", "\u3000", " \x1f"]
+
+
+def drawn_text(rng, words):
+    """Words of one script each, apart by white space of all sorts."""
+    out = []
+    for _ in range(words):
+        low, high = rng.choice(SCRIPTS)
+        out.append("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 9))) + rng.choice(GAPS))
+    return "".join(out)
+
+
+def drawn_case(rng, outcome):
+    """A text and a quote that should end in ``outcome``."""
+    text = drawn_text(rng, 40)
+    words = list(re.finditer(r"\S+", text))
+    first = rng.randint(0, 30)
+    quote = text[words[first].start() : words[first + 6].end()]
+    if outcome == "whitespace_collapsed":
+        quote = re.sub(r"\s+", lambda m: rng.choice([g for g in GAPS if g != m.group()]), quote)
+    elif outcome == "whitespace_stripped":
+        quote = re.sub(r"\s+", "", quote)
+    elif outcome == "not_found":
+        at = rng.randrange(len(quote))
+        quote = quote[:at] + "\u0416\u0416" + quote[at:]
+    elif outcome == "too_short":
+        quote = rng.choice(GAPS) + text[words[first].start() :][: rng.randint(1, 2)] + rng.choice(GAPS)
+    elif outcome == "empty":
+        quote = "".join(rng.choices(GAPS, k=rng.randint(0, 3)))
+    return text, quote
 
 
 def locate(spark, pairs):
@@ -20,39 +47,6 @@ def locate(spark, pairs):
     return [row for row in ev.locate_quotes(df).orderBy("i").collect()]
 
 
-def test_one_case_per_outcome(spark):
-    reflowed = "forty-one freighters through fog and drifting ice"
-    cases = [
-        (SOURCE, "Odile Brandt", "exact", "Odile Brandt"),
-        (SOURCE, "\n Lamp oil\t", "exact", "Lamp oil"),
-        (SOURCE, reflowed, "whitespace_collapsed", reflowed.replace("and ", "and\n\t")),
-        (SOURCE, "Tar,  \n Canvas", "whitespace_collapsed", "Tar, Canvas"),
-        (THAI, "ประภาคารฝั่งตะวันออก", "whitespace_stripped", "ประ ภา คาร ฝั่ง ตะวัน ออก"),
-        (SOURCE, "Rescued ninety sailors off the cape", "not_found", None),
-        (SOURCE, "", "empty", None),
-        (SOURCE, "\t\n", "empty", None),
-        (SOURCE, "Tar", "too_short", None),
-        (SOURCE, "?", "too_short", None),
-        ("a foghorn stands on the pier", "fog", "too_short", None),
-        ("", "quite some words", "not_found", None),
-        ("p\\Qq [r] {s} $2 (t)", "p\\Qq   [r]  {s} $2    (t)", "whitespace_collapsed", "p\\Qq [r] {s} $2 (t)"),
-    ]
-    rows = locate(spark, [(t, q) for t, q, _, _ in cases])
-    for row, (text, quote, outcome, found) in zip(rows, cases):
-        assert (row.match_kind or row.reason) == outcome, quote
-        assert row.found == found
-        assert row.quote == quote
-        if found is not None:
-            assert text[row.char_start : row.char_end] == found
-
-
-def test_ambiguity(spark):
-    (row,) = locate(spark, [("Lanterns lit; more Lanterns carried up.", "Lanterns")])
-    assert (row.occurrences, row.is_ambiguous, row.char_start) == (2, True, 0)
-    (row,) = locate(spark, [("abcd " * 20, "abcd")])
-    assert row.occurrences == 20
-
-
 def brute(text, quote):
     """Tier by tier with Python's regular expressions."""
     q = unicodedata.normalize("NFC", quote).strip()
@@ -72,6 +66,42 @@ def brute(text, quote):
     return "not_found", None, None, None
 
 
+OUTCOMES = ["exact", "whitespace_collapsed", "whitespace_stripped", "not_found", "too_short", "empty"]
+
+
+@pytest.mark.parametrize("outcome", OUTCOMES)
+def test_drawn_cases_of_every_outcome(spark, outcome):
+    rng = random.Random(OUTCOMES.index(outcome))
+    pairs = [drawn_case(rng, outcome) for _ in range(150)]
+    met = 0
+    for (text, quote), row in zip(pairs, locate(spark, pairs), strict=True):
+        kind, start, end, n = brute(text, quote)
+        assert (row.match_kind or row.reason, row.char_start, row.char_end, row.occurrences) == (kind, start, end, n)
+        assert row.quote == quote
+        assert row.found == (None if start is None else text[start:end])
+        assert row.is_ambiguous == (None if n is None else n > 1)
+        met += kind == outcome
+    # Cases are drawn, so a few may end elsewhere: a change of white space that changes nothing, say.
+    assert met > 140
+
+
+def test_quotes_with_the_signs_of_patterns(spark):
+    signs = r"\Q\E[](){}^$.*+?|-&~#%/"
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(200):
+        words = ["".join(rng.choices(signs, k=rng.randint(2, 6))) for _ in range(8)]
+        pairs.append((" ".join(words), rng.choice(["  ", "\n", ""]).join(words[2:6])))
+    for (text, quote), row in zip(pairs, locate(spark, pairs), strict=True):
+        kind, start, end, n = brute(text, quote)
+        assert (row.match_kind or row.reason, row.char_start, row.char_end, row.occurrences) == (kind, start, end, n)
+
+
+def test_all_occurrences_are_counted(spark):
+    pairs = [("qrst " * n, "qrst") for n in (1, 2, 9, 20)]
+    assert [(r.occurrences, r.is_ambiguous) for r in locate(spark, pairs)] == [(n, n > 1) for n in (1, 2, 9, 20)]
+
+
 def test_against_brute_force(spark):
     rng = random.Random(11)
     alphabet = "ab.é😀ก\\[" + "  \n\t　 \x1f"
@@ -102,21 +132,35 @@ def test_long_quotes_are_placed_like_short_ones(spark):
 
 
 def test_resolve_reports_every_claim(spark):
+    rng = random.Random(21)
+    texts = {doc: drawn_text(rng, 60) for doc in range(5)}
+    cuts = {doc: sorted(rng.sample(range(1, len(text)), 3)) for doc, text in texts.items()}
+    claims = []
+    for n in range(200):
+        doc = rng.choice([*texts, 99])
+        start = rng.randrange(len(texts.get(doc, "x" * 50)) - 20)
+        claims.append((doc, n, texts.get(doc, "x" * 50)[start : start + 20] if n % 4 else "not there at all"))
+    pages = {doc: list(zip([1, 2, 3, 4], [0, *c], [*c, len(texts[doc])])) for doc, c in cuts.items()}
     docs = spark.createDataFrame(
-        [(1, SOURCE, [(1, 0, 70), (2, 70, len(SOURCE))]), (2, THAI, None)],
+        [(doc, text, pages[doc] if doc else None) for doc, text in texts.items()],
         "doc_id long, text string, pages array<struct<page_number:int,char_start:int,char_end:int>>",
     )
-    claims = spark.createDataFrame(
-        [(1, 0, "Harbour log"), (1, 1, "Lamp oil"), (1, 2, "nowhere to be found"), (2, 3, "ท่าเรือ:"), (9, 4, "orphan claim")],
-        "doc_id long, claim_id int, quote string",
-    )
-    got = {row.claim_id: row for row in ev.resolve(claims, docs).collect()}
-    assert len(got) == 5
-    assert (got[0].page, got[1].page, got[3].page) == (1, 2, 1)
-    assert got[2].reason == got[4].reason == "not_found"
-    stats = {row.doc_id: row for row in ev.evidence_stats(ev.resolve(claims, docs), ["doc_id"], docs).collect()}
-    assert stats[1].hallucination_rate == round(1 / 3, 4)
-    assert stats[1].by_match_kind == {"exact": 2} and stats[1].by_reject_reason == {"not_found": 1}
+    outcomes = ev.resolve(spark.createDataFrame(claims, "doc_id long, claim_id int, quote string"), docs)
+    got = {row.claim_id: row for row in outcomes.collect()}
+    assert len(got) == len(claims)
+    verified, reasons = {}, {}
+    for doc, n, quote in claims:
+        kind, start, _, _ = brute(texts[doc], quote) if doc in texts else ("not_found", None, None, None)
+        assert (got[n].match_kind or got[n].reason, got[n].char_start) == (kind, start)
+        if start is not None:
+            assert got[n].page == (1 if doc == 0 else max(p for p, low, _ in pages[doc] if low <= start))
+        into = reasons if start is None else verified
+        into.setdefault(doc, []).append(kind)
+    for row in ev.evidence_stats(outcomes, ["doc_id"], docs).collect():
+        ok, bad = verified.get(row.doc_id, []), reasons.get(row.doc_id, [])
+        assert row.by_match_kind == {k: ok.count(k) for k in ok}
+        assert row.by_reject_reason == {k: bad.count(k) for k in bad}
+        assert row.hallucination_rate == round(len(bad) / (len(ok) + len(bad)), 4)
 
 
 def test_documents_without_claims_have_rate_zero(spark):
@@ -127,19 +171,18 @@ def test_documents_without_claims_have_rate_zero(spark):
 
 
 def test_input_order_does_not_matter(spark):
-    docs = spark.createDataFrame([(i, SOURCE) for i in range(6)], "doc_id long, text string")
-    claims = spark.createDataFrame(
-        [(i % 6, i, q) for i, q in enumerate(["Lamp oil", "Tar,\nCanvas", "nope nope"] * 8)],
-        "doc_id long, claim_id int, quote string",
-    )
+    rng = random.Random(8)
+    cases = [drawn_case(rng, OUTCOMES[n % 4]) for n in range(24)]
+    docs = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(cases)], "doc_id long, text string")
+    claims = spark.createDataFrame([(n, n, quote) for n, (_, quote) in enumerate(cases)], "doc_id long, claim_id int, quote string")
     a = sorted(map(str, ev.resolve(claims, docs).collect()))
     b = sorted(map(str, ev.resolve(claims.repartition(7, "quote"), docs.repartition(3)).collect()))
     assert a == b
 
 
 def test_texts_stay_out_of_the_rows_of_claims(spark):
-    docs = spark.createDataFrame([(1, SOURCE)], "doc_id long, text string")
-    claims = spark.createDataFrame([(1, "Lamp oil")], "doc_id long, quote string")
+    docs = spark.createDataFrame([(1, "some text of one document")], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, "text of one")], "doc_id long, quote string")
     plan = ev.resolve(claims, docs)._jdf.queryExecution().optimizedPlan().toString()
     (generate,) = [line for line in plan.splitlines() if "Generate" in line]
     assert "outer" in generate.lower() or ", true, [" in generate
