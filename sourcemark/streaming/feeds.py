@@ -1,72 +1,16 @@
-"""Streaming twins: change feed, delivery and upload deduplication, live application state, abandoned work.
-
-Each keyed operator keeps one small state row per key (a payload, a state name, two numbers);
-the key's rows of one micro-batch arrive as Arrow batches.
-"""
+"""Streaming twins without timers: delivery and upload deduplication, and streams over stored tables."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from sourcemark.operators.lifecycle import NEEDS_EVIDENCE, NEEDS_REASON, TERMINAL, TRANSITIONS
-from sourcemark.operators.worktrack import IN_FLIGHT, STREAM_SECONDS, VISIBILITY_SECONDS
-
-# The state functions travel inside the query, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_PERMITTED = frozenset(TRANSITIONS)
-
-
-def _sorted_rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = [batch for batch in batches if len(batch)]
-    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
-
+from pyspark.sql import functions as F
 
-FEED_OUTPUT = "id long, seq long, payload string, frame string"
-_FEED_STATE = "payload string, began timestamp, seq long, closed boolean"
+from sourcemark.operators.ingest import dedupe_uploads
+from sourcemark.operators.joins import small_side
+from sourcemark.session import settle
+from sourcemark.streaming import timed
 
-
-def _follow(
-    key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """One row's readings in order: a frame per change, then one closing frame and silence."""
-    last, began, seq, closed = state.get if state.exists else (None, None, 0, False)
-    out: list[tuple] = []
-    for row in _sorted_rows(batches, ["at", "tie"]).itertuples(index=False):
-        if closed:
-            break
-        began = row.at if began is None else began
-        status = None if pd.isna(row.status) else row.status
-        if status is not None and row.payload != last:
-            out.append((key[0], seq, row.payload, "status"))
-        last = row.payload
-        late = (row.at - began).total_seconds() >= STREAM_SECONDS
-        closing = (
-            "gone" if status is None else "done" if status not in IN_FLIGHT else "timeout" if late else None
-        )
-        if closing:
-            out.append((key[0], seq, row.payload, closing))
-            closed = True
-        seq += 1
-    state.update((last, began, seq, closed))
-    yield pd.DataFrame(out, columns=["id", "seq", "payload", "frame"])
-
-
-def stream_status_feed(readings: DataFrame) -> DataFrame:
-    """Readings (id, at, tie, status, payload) → frames; ``tie`` orders readings of one moment.
-
-    A closed feed stays closed: its state row is what remembers that.
-    """
-    return readings.groupBy("id").applyInPandasWithState(
-        _follow, FEED_OUTPUT, _FEED_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+UPLOAD_KEY = ["owner_id", "content_hash"]
 
 
 def stream_dedupe_dispatch(dispatches: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -74,94 +18,53 @@ def stream_dedupe_dispatch(dispatches: DataFrame, delay: str = "1 hour") -> Data
     return dispatches.withWatermark("at", delay).dropDuplicatesWithinWatermark(["id", "attempt"])
 
 
-def stream_dedupe_uploads(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First upload per (owner_id, content_hash) within the delay; the batch operator settles
-    older ones against the stored table."""
-    return uploads.withWatermark("at", delay).dropDuplicatesWithinWatermark(["owner_id", "content_hash"])
-
-
-MOVES_OUTPUT = (
-    "application_id long, request_id long, from_state string, to_state string, allowed boolean, position long"
-)
-_MOVES_STATE = "state string, position long"
-
-
-def _move(
-    key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Requests of one application in order, each judged on the state the last one left."""
-    rows = _sorted_rows(batches, ["at", "request_id"])
-    out: list[tuple] = []
-    current, position = state.get if state.exists else (None, None)
-    for row in rows.itertuples(index=False):
-        if current is None:
-            current, position = row.initial_state, row.last_position
-        said = isinstance(row.reason, str) and bool(row.reason.strip())
-        backed = not pd.isna(row.screening_id)
-        allowed = (
-            current not in TERMINAL
-            and (current, row.mover, row.to_state) in _PERMITTED
-            and (row.to_state != NEEDS_REASON or said)
-            and (row.to_state != NEEDS_EVIDENCE or backed)
-        )
-        position += int(allowed)
-        out.append((key[0], row.request_id, current, row.to_state, allowed, position if allowed else None))
-        current = row.to_state if allowed else current
-    if current is not None:
-        state.update((current, position))
-    yield pd.DataFrame(
-        out, columns=["application_id", "request_id", "from_state", "to_state", "allowed", "position"]
-    ).astype({"position": "Int64"})
-
-
-def stream_moves(requests: DataFrame) -> DataFrame:
-    """Requested moves as they arrive → the log they append, refused ones included.
-
-    ``requests``: application_id, request_id, at, to_state, mover, reason, screening_id, and
-    the application's initial_state and last_position, read on its first request only.
-    """
-    return requests.groupBy("application_id").applyInPandasWithState(
-        _move, MOVES_OUTPUT, _MOVES_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-STALLED_OUTPUT = "id long, claimed_at timestamp"
-_STALLED_STATE = "claimed_at timestamp"
-
+def stream_stalled(updates: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Status updates (id, at, status) → claims not followed by another update in time."""
+    marked = updates.withWatermark("at", delay).withColumn("tie", F.lit(0))
+    return timed.stream_stalled(marked).where(~F.col("late")).drop("late")
 
-def _watch(
-    key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Arms a timer on every claim and reports the claim when the timer fires."""
-    if state.hasTimedOut:
-        (claimed,) = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], claimed)], columns=["id", "claimed_at"])
-        return
-    rows = _sorted_rows(batches, ["at"])
-    latest = rows.iloc[-1]
-    if latest["status"] == "processing":
-        state.update((latest["at"],))
-        due = int(latest["at"].timestamp() * 1000) + VISIBILITY_SECONDS * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame([], columns=["id", "claimed_at"])
 
+def settle_uploads(batch: DataFrame, batch_id: int, store: str) -> None:
+    """One micro-batch of uploads (upload_id, owner_id, content_hash) against everything stored before it.
 
-def stream_stalled(updates: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Status updates (id, at, status) → claims not followed by another update in time."""
-    return (
-        updates.withWatermark("at", delay)
-        .groupBy("id")
-        .applyInPandasWithState(
-            _watch, STALLED_OUTPUT, _STALLED_STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+    The first upload of a file by an owner stays, over all batches; uploads are settled however late they
+    come, as the stored table is the state. What a batch writes replaces what the same batch wrote
+    before, and it looks at earlier batches only, so a replayed batch adds nothing and changes nothing.
+    """
+    spark = batch.sparkSession
+    rows = settle(batch.select("upload_id", *UPLOAD_KEY))
+    earlier = stored_uploads(spark, store, rows).where(F.col("batch") < batch_id)
+    # Only what this batch may meet leaves the scan of the store.
+    asked = small_side(rows.select(*UPLOAD_KEY).distinct())
+    known = earlier.select("upload_id", *UPLOAD_KEY).join(asked, UPLOAD_KEY, "left_semi")
+    kept, answered = dedupe_uploads(rows, known, ["upload_id"])
+    answered.select("upload_id", *UPLOAD_KEY, "kept_id").write.mode("overwrite").parquet(f"{store}/answered/batch={batch_id}")
+    kept.select("upload_id", *UPLOAD_KEY).write.mode("overwrite").parquet(f"{store}/kept/batch={batch_id}")
+
+
+def stored_uploads(spark: SparkSession, store: str, like: DataFrame, what: str = "kept") -> DataFrame:
+    """The stored rows with the batch that brought them; a new store is empty."""
+    types = {f.name: f.dataType.simpleString() for f in like.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in ["upload_id", *UPLOAD_KEY])
+    schema += f", kept_id {types['upload_id']}" if what == "answered" else ""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/{what}/batch=-1")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{store}/{what}")
+
+
+def run_uploads(uploads: DataFrame, store: str, checkpoint: str) -> None:
+    """All uploads available now into the store, which belongs to this one checkpoint: its batch ids name the parts."""
+    query = (
+        uploads.writeStream.foreachBatch(lambda batch, batch_id: settle_uploads(batch, batch_id, store))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything available now into Parquet files under ``path``, exactly once."""
+    timed.use_state_store(stream.sparkSession)
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -173,6 +76,11 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def read_arrivals(spark: SparkSession, folder: str, schema: str, files: int = 1) -> DataFrame:
+    """Files of a folder as a stream, in the order they were written, ``files`` of them a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a stream, with the schema of the stored one."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
