@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sourcemark.operators import ingest as ig
@@ -9,6 +11,8 @@ from sourcemark.operators import privacy as pv
 from sourcemark.operators import worktrack as wt
 from sourcemark.operators.ordered import number_within
 from sourcemark.plans.common import DataFrame, SparkSession, table
+from sourcemark.session import settle, use_checkpoint_dir
+from sourcemark.sources import keyed
 from sourcemark.sources.tables import outside_vocabulary
 
 # Magic bytes for the test files: web pages stand in for the first type.
@@ -54,6 +58,24 @@ SELECT 'store/' || page_id || '.html' AS path, strlen(coalesce(html, ''))::BIGIN
   CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN NOT starts_with(html, '<!DOCTYP') THEN 'magic_mismatch' END AS reason FROM pages"""
 
 
+def files_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as stored files under their key, then every third one asked for by key, and some that are not there."""
+    use_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    n = F.col("page_id")
+    key = F.concat((n % 100).cast("string"), F.lit("/"), n.cast("string"), F.lit(".html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", key.alias("storage_key"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    written = settle(keyed.store_files(pages, root))
+    third = F.regexp_extract("storage_key", r"(\d+)\.html", 1).cast("bigint") % 3 == 0
+    asked = written.where(third).union(written.where(third).select(F.concat("storage_key", F.lit(".gone"))))
+    return keyed.read_by_key(spark, root, asked).select("storage_key", "length", ig.content_hash(F.col("content")).alias("content_hash"))
+
+
+FILES_BY_KEY = """
+WITH p AS (SELECT (page_id % 100) || '/' || page_id || '.html' AS storage_key, coalesce(html, '') AS h FROM pages WHERE page_id % 3 = 0)
+SELECT storage_key, strlen(h)::BIGINT AS length, sha256(h) AS content_hash FROM p UNION ALL SELECT storage_key || '.gone', NULL, NULL FROM p"""
+
+
 def vocabulary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose status is outside the closed vocabulary."""
     orders = table(spark, sf_dir, "orders")
@@ -349,6 +371,7 @@ DEDUPE_DISPATCH = """SELECT user_id AS id, event_id % 3 AS attempt, min(ts) AS a
 QUERIES = {
     "admit_pages": admit_pages,
     "stored_files": stored_files,
+    "files_by_key": files_by_key,
     "vocabulary_check": vocabulary_check,
     "dedupe_documents": dedupe_documents,
     "purge_expired": purge_expired,
@@ -363,6 +386,7 @@ QUERIES = {
 }
 ORACLES = {
     "stored_files": STORED_FILES,
+    "files_by_key": FILES_BY_KEY,
     "admit_pages": ADMIT_PAGES,
     "vocabulary_check": VOCABULARY_CHECK,
     "dedupe_documents": DEDUPE_DOCUMENTS,

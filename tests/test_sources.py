@@ -60,3 +60,60 @@ def test_documents_go_out_and_come_back(spark, tmp_path):
 def test_unknown_fields_are_named(spark):
     df = spark.createDataFrame([('{"value": 1, "extra": 2}',)], "j string")
     assert df.select(fl.unknown_fields(F.col("j"), ["value", "quote"])).first()[0] == ["extra"]
+
+
+def test_files_are_opened_by_key_and_never_listed(spark, tmp_path, monkeypatch):
+    from pyarrow import fs as arrow_fs
+
+    from sourcemark.sources import keyed
+
+    store = tmp_path / "store"
+    for n in range(100):
+        (store / f"{n:02d}").mkdir(parents=True)
+        for k in range(100):
+            (store / f"{n:02d}" / f"{k:02d}").write_bytes(b"%d" % (100 * n + k))
+    asked = [f"{n:02d}/{n:02d}" for n in range(10)]
+    keys = spark.createDataFrame([(k,) for k in [*asked, asked[0], "00/none", None]], "storage_key string")
+    found = keyed.read_by_key(spark, f"file://{store}", keys, per_task=3)
+    rows = {r.storage_key: (r.length, r.content) for r in found.collect()}
+    assert rows == {**{k: (len(b), bytes(b)) for k in asked for b in [b"%d" % (int(k[:2]) * 101)]}, "00/none": (None, None)}
+    # The same reader in this process, with its file system watched.
+    folder = tmp_path / "keys"
+    spark.createDataFrame([(k,) for k in asked], "storage_key string").coalesce(1).write.parquet(str(folder))
+    opened, listed = [], []
+
+    def watched(uri, real=keyed.located):
+        system, path = real(uri)
+
+        class Watch:
+            def open_input_stream(self, name, **options):
+                opened.append(name)
+                return system.open_input_stream(name, **options)
+
+            def open_input_file(self, name):
+                return system.open_input_file(name)
+
+            def get_file_info(self, selector):
+                listed.append(selector.base_dir)
+                return system.get_file_info(selector)
+
+        return Watch(), path
+
+    monkeypatch.setattr(keyed, "located", watched)
+    reader = keyed.KeyedReader({"root": str(store), "keys": str(folder), "keys_per_task": "4"})
+    parts = reader.partitions()
+    assert [p.count for p in parts] == [4, 4, 2]
+    assert sum(batch.num_rows for p in parts for batch in reader.read(p)) == 10
+    assert opened == [str(store / k) for k in asked]
+    assert listed == [str(folder)]
+    assert isinstance(arrow_fs.LocalFileSystem(), arrow_fs.FileSystem)
+
+
+def test_keys_that_lead_out_of_the_store_are_refused(spark, tmp_path):
+    import pytest
+
+    from sourcemark.sources import keyed
+
+    for key in ("../x", "/etc/x", "a/../../x"):
+        with pytest.raises(Exception, match="not a storage key"):
+            keyed.read_by_key(spark, str(tmp_path), spark.createDataFrame([(key,)], "storage_key string"))
