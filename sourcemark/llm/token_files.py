@@ -6,8 +6,9 @@ within it, so the offset over all files needs only one total per file. Readers s
 stripe; a look-up by document id prunes files and stripes by their statistics, row groups by row
 index and Bloom filter.
 
-Encoding goes by white-space-free runs, which this vocabulary never joins; the ids of the runs and
-pieces a worker has met are kept in bounded caches, and the library's model encodes the others.
+Encoding goes by white-space-free runs, which this vocabulary never joins: texts of plain Latin runs are
+cut into pieces as a whole, others run by run. The ids of the runs and pieces a worker has met are kept
+in bounded caches, and the library's model encodes the others. Vocabularies of other rules are refused.
 
 Edge cases: a null or empty text holds the end id only. Rows of one id (repeated rows) stand next
 to each other, ordered by text; null ids come first. Extra columns are ignored. An empty table
@@ -31,7 +32,7 @@ END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 # Runs and pieces that a worker keeps, in each of two generations: more memory, less work.
-CACHED = (200_000, 150_000)
+CACHED = (50_000, 250_000)
 LONGEST_KEPT = 32
 
 
@@ -48,13 +49,17 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words = WordCache(lambda words: map(self.run, words), limit=cached[0])
+        self.plain = WordCache(lambda pieces: map(self.encoded, map(self.cutter.lettered, pieces)), cached[1], LONGEST_KEPT)
+
+    def encoded(self, piece: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
             found = self.older.get(piece)
             if found is None:
-                found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+                found = self.encoded(piece)
             if len(piece) <= LONGEST_KEPT:
                 if len(self.pieces) >= self.kept_pieces:
                     self.older, self.pieces = self.pieces, {}
@@ -73,9 +78,14 @@ class Encoder:
         return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(b"".join(self.words.lookup(split_words(block))) for block in blocks(text))
+        return b"".join(map(self.block, blocks(text))) if text else b""
+
+    def block(self, block: str) -> bytes:
+        """A block of plain runs is cut and looked up as a whole, any other run by run."""
+        pieces = self.cutter.block_pieces(block)
+        if pieces is None:
+            return b"".join(self.words.lookup(split_words(block)))
+        return b"".join(self.plain.lookup(pieces))
 
 
 def _encoded(vocabulary, end_id: int, cached: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ tokens of its white-space-free runs, one after the other. Runs repeat, so tasks
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -26,6 +27,15 @@ FILE_LIMIT = 64 << 20
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 # Fixed by the vocabulary file: how it cuts such runs in lower case. Bytes beyond ASCII are letters' here.
 PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u0080-\uffff]+|[0-9]|[^a-z0-9\u0080-\uffff]+")
+# Whole texts of such runs and ASCII white space, and the same cut between white space.
+PLAIN_BLOCK = re.compile(f"[\t-\r {PLAIN.pattern[1:-2]}]*")
+PLAIN_BLOCK_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u017f]+|[0-9]|[^\\sa-z0-9\u00df-\u017f]+")
+# Fixed by the vocabulary file: the normaliser and the splitter that the cuts above are equal to.
+NORMALISER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,6 +54,10 @@ class Cutter:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        spec = json.loads(vocabulary)
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if spec["normalizer"] != NORMALISER or [s.get("pattern", {}).get("Regex") for s in steps] != [SPLITTER, None]:
+            raise ValueError("this vocabulary normalises or splits in another way than the cuts made here")
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.normalise = self.tokenizer.normalizer.normalize_str
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -55,13 +69,20 @@ class Cutter:
         """``word`` around its special strings, which stand at the odd places."""
         return [word] if self.special is None or "<" not in word else self.special.split(word)
 
+    def block_pieces(self, block: str) -> list[str] | None:
+        """Lower-cased pieces of a whole text of plain runs, in one go; None if it holds anything else."""
+        if PLAIN_BLOCK.fullmatch(block) is None or ("<" in block and self.special is not None and self.special.search(block)):
+            return None
+        return PLAIN_BLOCK_PIECES.findall(block.lower())
+
+    def lettered(self, piece: str) -> str:
+        """A piece in the letters that stand for its bytes."""
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+
     def pieces(self, word: str) -> list[str]:
         """Pieces in the letters that stand for their bytes."""
         if PLAIN.fullmatch(word):
-            low = word.lower()
-            if not low.isascii():
-                low = low.encode().decode("latin-1").translate(self.letters)
-            return PLAIN_PIECES.findall(low)
+            return PLAIN_PIECES.findall(self.lettered(word.lower()))
         return [piece for piece, _ in self.split(self.normalise(word))]
 
 

@@ -1,5 +1,6 @@
 """Token counts and token files against the library itself."""
 
+import random
 import struct
 import unicodedata
 import zlib
@@ -43,6 +44,40 @@ def test_every_assigned_letter_counts_as_in_the_library(library):
     assert not wrong
 
 
+def test_every_assigned_letter_has_the_ids_of_the_library(library):
+    with open(VOCABULARY, encoding="utf-8") as file:
+        encoder = token_files.Encoder(file.read(), (100, 100))
+    wrong = []
+    for start in range(0, 0x20000, 64):
+        chars = [chr(c) for c in range(start, start + 64) if not 0xD800 <= c < 0xE000]
+        assigned = [c for c in chars if unicodedata.category(c) not in ("Cn", "Co")]
+        for text in assigned and ["".join(assigned), "a".join(assigned), " ".join(assigned), "Z' s'S 'll\n".join(assigned)]:
+            ids = library(text)
+            if encoder.ids(text) != struct.pack(f"<{len(ids)}I", *ids):
+                wrong.append((hex(start), text))
+    assert not wrong
+
+
+def test_plain_blocks_equal_the_library(library):
+    with open(VOCABULARY, encoding="utf-8") as file:
+        encoder = token_files.Encoder(file.read(), (50, 50))
+    draw = random.Random(3)
+    signs = ["a", "Ab", "é", "ÿ", "Ź", "'", "'s", "'LL", "’", "12", "3", ".", "...", "<", "<|endoftext|>", "|>", " ", "\n", "\t\r", "_", "ß"]
+    for _ in range(4000):
+        text = "".join(draw.choices(signs, k=draw.randint(0, 25)))
+        ids = library(text)
+        assert encoder.ids(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
+def test_vocabularies_of_other_rules_are_refused(spark):
+    import public_tokenizers
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    for encode in (token_counts.token_counts, token_files.tokens_round_trip):
+        with pytest.raises(Exception, match="another way"):
+            encode(odd_documents(spark), other).collect()
+
+
 def test_files_hold_the_librarys_ids_in_order(spark, library, tmp_path):
     docs = odd_documents(spark)
     folder = f"file://{tmp_path}/tokens"
