@@ -6,7 +6,7 @@ back each of their documents once, zero scores included.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,14 +33,16 @@ BLOCK = 63
 def term_tokens(terms: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, term_at, term, tokens): terms with a token, numbered from 0 in term order.
 
-    The terms of one request are few (a job has at most 30 requirements), so is the window.
+    Without a scope there is one request of any number of terms, numbered over all partitions; with one,
+    a request is a job's requirements, of which there are at most thirty.
     """
     folded = terms.select(*scope, "term_no", "term", tx.casefold(tx.nfc(F.col("term"))).alias("_folded"))
     parts = folded.withColumn("tokens", F.array_distinct(tx.fold_tokens(F.col("_folded"))))
-    request = Window.partitionBy(*(scope or [F.lit(0)])).orderBy("term_no")
-    return parts.where(F.size("tokens") > 0).select(
-        *scope, (F.row_number().over(request) - 1).alias("term_at"), "term", "tokens"
-    )
+    asked = parts.where(F.size("tokens") > 0).select(*scope, "term_no", "term", "tokens")
+    if not scope:
+        return number_within(asked, [], [F.col("term_no")], "term_at", start=0).select("term_at", "term", "tokens")
+    request = Window.partitionBy(*scope).orderBy("term_no")
+    return asked.select(*scope, (F.row_number().over(request) - 1).cast("bigint").alias("term_at"), "term", "tokens")
 
 
 def doc_freq(posted: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -61,6 +63,25 @@ def retrieve(terms: DataFrame, docs: DataFrame, scope: Sequence[str] = ()) -> Da
     thin table is written out because frequencies and scores both read it.
     """
     scope = list(scope)
+
+    def asked_postings(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        hits = settle(postings(docs, scope).join(wanted, [*scope, "token"]))
+        return hits, doc_freq(hits, scope)
+
+    return ranked(terms, docs.select(*scope, "doc_id"), asked_postings, scope)
+
+
+def ranked(
+    terms: DataFrame,
+    documents: DataFrame,
+    asked_postings: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    scope: list[str],
+) -> DataFrame:
+    """The ranking of :func:`retrieve` over ``documents`` (scope, doc_id) and their postings.
+
+    ``asked_postings`` gets the tokens asked for, (scope, token), and gives their postings and
+    document frequencies.
+    """
     asked = term_tokens(terms, scope).withColumn("block", F.floor(F.col("term_at") / BLOCK))
     names = asked.groupBy(*scope, "block").agg(
         F.array_sort(F.collect_list(F.struct("term_at", "term"))).alias("_names")
@@ -75,13 +96,12 @@ def retrieve(terms: DataFrame, docs: DataFrame, scope: Sequence[str] = ()) -> Da
         .agg(F.sum("_share").cast("double").alias("_share"), F.bit_or("_bit").alias("_bits"))
     )
     wanted = small_side(shares.select(*scope, "token").distinct())
-    hits = settle(postings(docs, scope).join(wanted, [*scope, "token"]))
-    counted = doc_freq(hits, scope)
+    hits, counted = asked_postings(wanted)
     if scope:
-        totals = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("_total"))
+        totals = documents.groupBy(*scope).agg(F.count(F.lit(1)).alias("_total"))
         counted = counted.join(totals, scope)
     else:
-        counted = counted.withColumn("_total", F.lit(docs.count()))
+        counted = counted.withColumn("_total", F.lit(documents.count()))
     rarity = F.log1p(F.col("_total") / (F.lit(1) + F.col("df")))
     weights = shares.join(counted, [*scope, "token"]).select(
         *scope, "token", "block", "_bits", exact(rarity * F.col("_share")).alias("_weight")
@@ -95,7 +115,7 @@ def retrieve(terms: DataFrame, docs: DataFrame, scope: Sequence[str] = ()) -> Da
     )
     scores = blocks.groupBy(*scope, "doc_id").agg(F.sum("_sum").cast("double").alias("score"))
     everything = (
-        docs.select(*scope, "doc_id")
+        documents.select(*scope, "doc_id")
         .join(scores, [*scope, "doc_id"], "left")
         .withColumn("score", F.coalesce(F.col("score"), F.lit(0.0)))
     )

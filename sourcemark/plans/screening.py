@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sourcemark.operators import judging as jd
@@ -9,8 +11,9 @@ from sourcemark.operators import profiles as pf
 from sourcemark.operators import ranking as rk
 from sourcemark.operators import retrieval as rt
 from sourcemark.operators import sections as sec
+from sourcemark.operators.postings import PostingStore
 from sourcemark.plans.common import DataFrame, SparkSession, sql_round, table
-from sourcemark.session import settle
+from sourcemark.session import settle, use_checkpoint_dir
 
 PROMPT = "judge-v1"
 
@@ -325,6 +328,37 @@ a AS (SELECT d.doc_id, round(coalesce(score, 0.0), 6) AS score, coalesce(matched
 SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM a"""
 
 
+def retrieve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per owner of a language over postings stored before: most documents first, the others as a delta."""
+    use_checkpoint_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("owner_id"), "text")
+    store = PostingStore(spark, f"{spark.sparkContext.getCheckpointDir()}/postings-{uuid.uuid4().hex}", ["owner_id"], shards=16).create()
+    delta = F.col("doc_id") % 10 == 0
+    store.add(docs.where(~delta), 0)
+    store.add(docs.where(delta), 1)
+    langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
+    terms = table(spark, sf_dir, "benchmark").select(
+        F.get(langs, (F.col("item_id") % 4).cast("int")).alias("owner_id"), F.col("item_id").alias("term_no"), F.col("text").alias("term")
+    )
+    return store.retrieve(terms).select(
+        "owner_id", "doc_id", F.round("score", 6).alias("score"), F.sha2(F.array_join("matched", "\n"), 256).alias("matched_sha256"), "place"
+    )
+
+
+RETRIEVE_STORED = r"""WITH
+dt AS (SELECT doc_id, lang, unnest(list_distinct(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2))) AS token FROM documents),
+tm AS (SELECT ['en','de','fr','es'][(item_id % 4 + 1)::INTEGER] AS lang, item_id, text AS term FROM benchmark),
+tk AS (SELECT *, list_distinct(list_filter(regexp_extract_all(replace(lower(term), 'ß', 'ss'), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2)) AS ts FROM tm),
+tt AS (SELECT lang, item_id, term, len(ts) AS n, unnest(ts) AS token FROM tk),
+df AS (SELECT lang, token, count(*) AS df FROM dt GROUP BY ALL),
+nn AS (SELECT lang, count(*) AS total FROM documents GROUP BY lang),
+p AS (SELECT doc_id, item_id, any_value(term) AS term, count(*)::DOUBLE / any_value(n) * avg(ln(1 + total::DOUBLE / (1 + df))) AS part
+  FROM dt JOIN tt USING (lang, token) JOIN df USING (lang, token) JOIN nn USING (lang) GROUP BY ALL),
+s AS (SELECT doc_id, sum(part) AS score, string_agg(term, chr(10) ORDER BY item_id) AS matched FROM p GROUP BY doc_id),
+a AS (SELECT lang AS owner_id, d.doc_id, round(coalesce(score, 0.0), 6) AS score, sha256(coalesce(matched, '')) AS matched_sha256 FROM documents d LEFT JOIN s USING (doc_id))
+SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY score DESC, doc_id) AS place FROM a"""
+
+
 def suggest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job per language, asked by the owner of all documents in that language."""
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -394,6 +428,7 @@ QUERIES = {
     "rank_orders": rank_orders,
     "excluded_orders": excluded_orders,
     "retrieve": retrieve,
+    "retrieve_stored": retrieve_stored,
     "suggest_candidates": suggest_candidates,
     "retrieval_terms": retrieval_terms,
     "doc_freq": doc_freq,
@@ -408,6 +443,7 @@ ORACLES = {
     "rank_orders": RANK_ORDERS,
     "excluded_orders": EXCLUDED_ORDERS,
     "retrieve": RETRIEVE,
+    "retrieve_stored": RETRIEVE_STORED,
     "suggest_candidates": SUGGEST_CANDIDATES,
     "retrieval_terms": RETRIEVAL_TERMS,
     "doc_freq": DOC_FREQ,
