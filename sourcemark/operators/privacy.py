@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcemark.session import settle
+
 
 def _section(df: DataFrame, name: str, at: Column, key: Column, item: Column) -> DataFrame:
     return df.select(
@@ -33,7 +35,8 @@ def export_accounts(tables: dict[str, DataFrame], accounts: DataFrame) -> DataFr
     jobs = tables["jobs"].join(
         asked.withColumnRenamed("account_id", "owner_id"), "owner_id", "left_semi"
     ).withColumn("account_id", c("owner_id"))
-    requirements = tables["requirements"].groupBy("job_id").agg(
+    wanted = tables["requirements"].join(jobs.select("job_id"), "job_id", "left_semi")
+    requirements = wanted.groupBy("job_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("position", "kind", "label", "detail", "must_have", "weight"))),
             lambda r: F.struct(*[r[f].alias(f) for f in ("kind", "label", "detail", "must_have", "weight")]),
@@ -177,7 +180,8 @@ def erase_accounts(tables: dict[str, DataFrame], accounts: DataFrame) -> dict[st
             keys = gone[0]
             for more in gone[1:]:
                 keys = keys.unionByName(more)
-            doomed[child] = keys.distinct()
+            # Written once: every table below reads these few keys.
+            doomed[child] = settle(keys.distinct())
         rest = tables[child]
         for key, parent in edges:
             erased = doomed[parent].withColumnRenamed(KEY_OF[parent], key)

@@ -79,14 +79,26 @@ def score(classified: DataFrame) -> DataFrame:
 
 
 def rank(scored: DataFrame) -> DataFrame:
-    """1-based rank per job: gate, score, requirements met, then id. Jobs may be of any size."""
+    """1-based rank per job: gate, score, requirements met, then id. Jobs may be of any size.
+
+    Only the columns that decide are sorted; verdicts and citations join their rank by screening.
+    """
     order = [
         F.col("gate_passed").desc(),
         F.col("score").desc(),
         F.col("requirements_met").desc(),
         F.col("screening_id").asc(),
     ]
-    return number_within(scored, ["job_id"], order, "rank")
+    deciding = scored.select("job_id", "gate_passed", "score", "requirements_met", "screening_id")
+    numbered = number_within(deciding, ["job_id"], order, "rank").select("screening_id", "rank")
+    return scored.join(numbered, "screening_id")
+
+
+def rationale(ranked: DataFrame) -> DataFrame:
+    """Why each ranked screening stands where it does: a row per requirement, with its verdict and citations."""
+    return ranked.select(
+        "job_id", "rank", "screening_id", "filename", F.posexplode("requirements").alias("position", "_r")
+    ).select("job_id", "rank", "screening_id", "filename", "position", "_r.*")
 
 
 def ranking_report(

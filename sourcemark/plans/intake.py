@@ -12,6 +12,7 @@ from sourcemark.operators import worktrack as wt
 from sourcemark.operators.ordered import number_within
 from sourcemark.plans.common import DataFrame, SparkSession, table
 from sourcemark.session import settle, use_checkpoint_dir
+from sourcemark.sources import erasure as er
 from sourcemark.sources import keyed
 from sourcemark.sources.tables import outside_vocabulary
 
@@ -225,8 +226,25 @@ SELECT account_id, section, count(*) AS items, sum(y)::BIGINT AS by_you, sum(s):
 
 def erase_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of every table after the accounts of one nation are erased."""
+    return _survivors(pv.erase_accounts(*_accounts(spark, sf_dir)))
+
+
+def erase_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored tables, read back after the accounts' files and rows are gone."""
+    use_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/erased-{uuid.uuid4().hex}"
     tables, asking = _accounts(spark, sf_dir)
-    left = pv.erase_accounts(tables, asking)
+    er.store_tables(tables, f"{root}/tables", 4)
+    files = tables["resumes"].select("storage_key", F.encode("filename", "UTF-8").alias("content"))
+    before = settle(keyed.store_files(files, f"{root}/files"))
+    schemas = {name: ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) for name, rows in tables.items()}
+    er.erase_stored(er.read_tables(spark, f"{root}/tables", schemas), asking, f"{root}/tables", f"{root}/files")
+    left = er.read_tables(spark, f"{root}/tables", schemas)
+    gone = keyed.read_by_key(spark, f"{root}/files", before).where(F.col("length").isNull())
+    return _survivors({**left, "storage_keys": gone})
+
+
+def _survivors(left: dict[str, DataFrame]) -> DataFrame:
     key = {**pv.KEY_OF, "profiles": "resume_id", "requirements": "position", "events": "position", "calls": "call_id"}
     parts = []
     for name, rows in left.items():
@@ -378,6 +396,7 @@ QUERIES = {
     "check_requirements": check_requirements,
     "export_accounts": export_accounts,
     "erase_accounts": erase_accounts,
+    "erase_stored": erase_stored,
     "decide_retry": decide_retry,
     "reclaim_stalled": reclaim_stalled,
     "retryable_work": retryable_work,
@@ -394,6 +413,7 @@ ORACLES = {
     "check_requirements": CHECK_REQUIREMENTS,
     "export_accounts": EXPORT_ACCOUNTS,
     "erase_accounts": ERASE_ACCOUNTS,
+    "erase_stored": ERASE_ACCOUNTS,
     "decide_retry": DECIDE_RETRY,
     "reclaim_stalled": RECLAIM_STALLED,
     "retryable_work": RETRYABLE_WORK,

@@ -99,6 +99,31 @@ def page_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_BANDS = f"WITH {_BANDS_SQL} SELECT * FROM bd"
 
+def clamp_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes a turn, some across the edge of their page and some beyond it: cut, or the page declines."""
+    c, t = F.col("conv_id"), F.col("turn")
+    box = lambda *edges: F.struct(*[e.cast("double").alias(n) for e, n in zip(edges, ("x0", "top", "x1", "bottom"), strict=True)])
+    boxes = F.array(
+        box(c % 7 * 40 - 100, F.lit(10), c % 7 * 40 + 20, F.lit(90)),
+        box(F.lit(300), c % 11 * 30 - 20, F.lit(560) + t % 5 * 20, c % 11 * 30 + 20),
+    )
+    page = F.struct(*[F.lit(float(v)).alias(n) for n, v in (("left", 0), ("top", 0), ("right", 600), ("bottom", 300))])
+    cut = ly.clamp(F.col("boxes"), F.col("page"))
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", boxes.alias("boxes"), page.alias("page"))
+    edge = lambda n, name: F.get("cut", F.lit(n))[name].alias(f"{name}_{n}")
+    return made.withColumn("cut", cut).select(
+        "conv_id", "turn", F.col("cut").isNull().alias("declined"), *[edge(n, name) for n in (0, 1) for name in ("x0", "top", "x1", "bottom")]
+    )
+
+
+CLAMP_BOXES = """
+WITH b AS (SELECT conv_id, turn, greatest(conv_id % 7 * 40 - 100, 0)::DOUBLE AS l, (conv_id % 7 * 40 + 20)::DOUBLE AS r,
+  greatest(conv_id % 11 * 30 - 20, 0)::DOUBLE AS t, least(560 + turn % 5 * 20, 600)::DOUBLE AS e, least(conv_id % 11 * 30 + 20, 300)::DOUBLE AS o FROM conversations),
+k AS (SELECT *, r > l AND e > 300 AND o > t AS ok FROM b)
+SELECT conv_id, turn, NOT ok AS declined, CASE WHEN ok THEN l END AS x0_0, CASE WHEN ok THEN 10.0::DOUBLE END AS top_0, CASE WHEN ok THEN r END AS x1_0,
+  CASE WHEN ok THEN 90.0::DOUBLE END AS bottom_0, CASE WHEN ok THEN 300.0::DOUBLE END AS x0_1, CASE WHEN ok THEN t END AS top_1, CASE WHEN ok THEN e END AS x1_1,
+  CASE WHEN ok THEN o END AS bottom_1 FROM k"""
+
 _BOXES_SQL = (
     _BANDS_SQL
     + """,
@@ -320,6 +345,7 @@ SELECT doc_id, pages_measured, page_count, CASE WHEN doc_id % 6 = 0 OR pages_mea
   ELSE pages_measured || ' of ' || page_count || ' pages measured' END AS note FROM d"""
 
 QUERIES = {
+    "clamp_boxes": clamp_boxes,
     "page_rows": page_rows,
     "page_bands": page_bands,
     "reading_order": reading_order,
@@ -333,6 +359,7 @@ QUERIES = {
     "coverage": coverage,
 }
 ORACLES = {
+    "clamp_boxes": CLAMP_BOXES,
     "page_rows": PAGE_ROWS,
     "page_bands": PAGE_BANDS,
     "reading_order": READING_ORDER,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sourcemark.operators import judging as jd
@@ -241,7 +242,26 @@ c AS (SELECT job_id, count(*) FILTER (status = 'completed') AS n FROM s GROUP BY
 SELECT job_id, stalening, CASE WHEN stalening THEN coalesce(n, 0) ELSE 0 END::BIGINT AS invalidated FROM t LEFT JOIN c USING (job_id)"""
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _no_citations(line) -> Column:
+    return F.array().cast("array<string>")
+
+
+def _citations(line) -> Column:
+    """What a line cites if it proves something: its own words and where they stand."""
+    quote = F.concat(F.lit("part "), line["l_partkey"].cast("string"))
+    start = (line["l_suppkey"] * 10).cast("int")
+    span = F.struct(
+        quote.alias("quote"),
+        start.alias("char_start"),
+        (start + F.char_length(quote)).alias("char_end"),
+        line["l_linenumber"].cast("int").alias("page"),
+        F.lit("exact").alias("match_kind"),
+        F.lit(False).alias("is_ambiguous"),
+    )
+    return F.filter(F.array(span), lambda _: line["l_returnflag"] != "N")
+
+
+def _judged(spark: SparkSession, sf_dir: str, cited=_no_citations) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as judged screenings of four requirements, lines as their verdicts."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     fields = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
@@ -252,7 +272,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
                 F.lit("q").alias("label"),
                 F.lit(False).alias("must_have"),
                 F.when(r["l_returnflag"] != "N", "met").otherwise("not_evidenced").alias("verdict"),
-                F.array().cast("array<string>").alias("evidence"),
+                cited(r).alias("evidence"),
             ),
         ).alias("requirements")
     )
@@ -298,6 +318,56 @@ SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY gate_passed DESC, scor
 )
 
 
+def ranking_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verdict behind every rank, with what it cites."""
+    ranked, _ = rk.ranking_report(*_judged(spark, sf_dir, _citations), PROMPT)
+    cited = F.get("evidence", F.lit(0))
+    return rk.rationale(ranked).select(
+        "job_id", "rank", "screening_id", "filename", "position", "requirement_id", "label", "must_have", "weight", "verdict",
+        F.size("evidence").alias("citations"), cited["quote"].alias("quote"), cited["char_start"].alias("char_start"),
+        cited["char_end"].alias("char_end"), cited["page"].alias("page"),
+    )
+
+
+RANKING_RATIONALE = (
+    RANK_ORDERS.replace("SELECT *, row_number()", ", o AS (SELECT *, row_number()", 1)
+    + """), c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag) AS i,
+  l_returnflag <> 'N' AS met FROM lineitem)
+SELECT job_id, rank, screening_id, filename, (i - 1)::INTEGER AS position, 'r' || i AS requirement_id, 'q' || i AS label, i = 1 AS must_have, i::DOUBLE AS weight,
+  CASE WHEN met THEN 'met' ELSE 'not_evidenced' END AS verdict, met::INTEGER AS citations, CASE WHEN met THEN 'part ' || l_partkey END AS quote,
+  CASE WHEN met THEN (l_suppkey * 10)::INTEGER END AS char_start, CASE WHEN met THEN (l_suppkey * 10 + length('part ' || l_partkey))::INTEGER END AS char_end,
+  CASE WHEN met THEN l_linenumber::INTEGER END AS page
+FROM o JOIN c ON l_orderkey = screening_id"""
+)
+
+
+def judge_unasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third job asks for nothing: its judgments are empty. The others ask for the first words of the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    asks = F.col("job_id") % 3 != 0
+    match = F.array(F.struct(F.lit(1).alias("requirement"), F.array(F.substring("text", 1, 30)).alias("quotes")))
+    none = "array<struct<requirement:int,quotes:array<string>>>"
+    raw = docs.withColumn("job_id", F.col("doc_id") % 10).select(
+        "job_id", "doc_id", F.when(asks, match).otherwise(F.array().cast(none)).alias("matches")
+    )
+    spec = F.struct(
+        F.lit("r1").alias("id"), F.lit("opening").alias("label"), F.lit("skill").alias("kind"),
+        F.lit(None).cast("string").alias("detail"), F.lit(True).alias("must_have"), F.lit(1.0).alias("weight"),
+    )
+    specs = spark.range(10).select(F.col("id").alias("job_id")).where(asks).select("job_id", F.array(spec).alias("specs"))
+    return jd.judge(settle(raw), specs, docs, ["job_id", "doc_id"]).select(
+        "job_id", "doc_id", F.size("requirements").alias("requirements"), "requirements_met", "requirements_total",
+        "claims_verified", "claims_dropped", "hallucination_rate", "refusal",
+    )
+
+
+JUDGE_UNASKED = r"""WITH d AS (SELECT doc_id % 10 AS job_id, doc_id, doc_id % 10 % 3 <> 0 AS asks, coalesce(text, '') = '' AS bare,
+  length(regexp_replace(substr(text, 1, 30), '^\s+|\s+$', '', 'g')) >= 4 AS long FROM documents),
+f AS (SELECT *, (asks AND NOT bare)::INTEGER AS n, (asks AND NOT bare AND long)::INTEGER AS met FROM d)
+SELECT job_id, doc_id, n AS requirements, met AS requirements_met, n AS requirements_total, met::BIGINT AS claims_verified, (n - met)::BIGINT AS claims_dropped,
+  (n - met)::DOUBLE AS hallucination_rate, CASE WHEN bare THEN 'no_text' END AS refusal FROM f"""
+
+
 def excluded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rk.ranking_report(*_judged(spark, sf_dir), PROMPT)[1]
 
@@ -426,6 +496,8 @@ QUERIES = {
     "pairs_to_screen": pairs_to_screen,
     "edit_impact": edit_impact,
     "rank_orders": rank_orders,
+    "ranking_rationale": ranking_rationale,
+    "judge_unasked": judge_unasked,
     "excluded_orders": excluded_orders,
     "retrieve": retrieve,
     "retrieve_stored": retrieve_stored,
@@ -441,6 +513,8 @@ ORACLES = {
     "pairs_to_screen": PAIRS_TO_SCREEN,
     "edit_impact": EDIT_IMPACT,
     "rank_orders": RANK_ORDERS,
+    "ranking_rationale": RANKING_RATIONALE,
+    "judge_unasked": JUDGE_UNASKED,
     "excluded_orders": EXCLUDED_ORDERS,
     "retrieve": RETRIEVE,
     "retrieve_stored": RETRIEVE_STORED,
