@@ -54,11 +54,12 @@ class Cutter:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(vocabulary)
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if spec["normalizer"] != NORMALISER or [s.get("pattern", {}).get("Regex") for s in steps] != [SPLITTER, None]:
-            raise ValueError("this vocabulary normalises or splits in another way than the cuts made here")
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        normaliser, splitter = (json.loads(rule.__getstate__()) if rule is not None else {} for rule in rules)
+        steps = splitter.get("pretokenizers", [])
+        if normaliser != NORMALISER or [s.get("pattern", {}).get("Regex") for s in steps] != [SPLITTER, None]:
+            raise ValueError("this vocabulary normalises or splits in another way than the cuts made here")
         self.normalise = self.tokenizer.normalizer.normalize_str
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = byte_letters()
