@@ -31,7 +31,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mixed corpus, indexed as they are read back; small caches, as stages share their workers."""
-    return token_files.tokens_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), cached=(30_000, 50_000))
+    return token_files.tokens_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), cached=(5_000, 40_000))
 
 
 STAGES = [
