@@ -4,11 +4,15 @@ import base64
 import gzip
 import hashlib
 import json
+import math
+import random
+import statistics
+import time
 import zlib
 
 import pytest
 
-from sourcemark.llm import warc
+from sourcemark.llm import html_extract, warc
 from sourcemark.llm.html_extract import extract_main_text, main_blocks
 
 LONG = "A paragraph with a fair amount of plain text, as the body of an article has, and then some more of it."
@@ -76,6 +80,111 @@ def test_comments_notices_and_adverts_never_stay(name):
     assert main_blocks(f"<div><p>{LONG}</p></div><div class='{name}'><p>{LONG * 20}</p></div>") == [LONG]
 
 
+@pytest.mark.parametrize("mark", ["main", "article", "div"])
+@pytest.mark.parametrize(
+    "name",
+    "reader-comments user-comments comment-body privacy-notice cookie-policy google-ads sponsored-content email-signup left-hand-menu".split(),
+)
+def test_a_naming_word_anywhere_in_a_class_leaves_out(mark, name):
+    page = f"<{mark}><p>{LONG}</p><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p class='has-{name}'>{LONG}</p></{mark}>"
+    assert main_blocks(page) == [LONG] * 3
+    # A wrapper is told by what it holds, but a box of comments never is one.
+    wrapped = main_blocks(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p>")
+    assert wrapped == [LONG] * (1 if "comment" in name else 4)
+
+
+def test_excluded_elements_inside_a_block_leave_it_whole():
+    inner = ["<script>x()</script>", "<svg><text>x</text></svg>", "<button>b<div>c</div></button>", "<label>l</label>", "<span class='ad'>a</span>"]
+    for element in inner:
+        assert main_blocks(f"<p>one {element}two</p>") == ["one two"]
+    assert main_blocks("<p>one <label>never <b>closed</p><p>two</p>") == ["one", "two"]
+    assert main_blocks("<p>one <label>never closed<p>two</p>") == ["one", "two"]
+
+
+def test_links_alone_at_the_edges_of_the_region_go():
+    links = "<ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul>"
+    after = "<p><a href=/n>Next</a></p><p><a href=/u>Up</a></p>"
+    page = f"{links}<p>{LONG}</p><p><a href=/m>More</a></p><p>x</p><p>{LONG}</p>{after}"
+    assert main_blocks(page) == [LONG, "More", "x", LONG]
+    assert main_blocks(links) == ["Home", "Blog"]
+
+
+def test_ratios_choose_among_marked_parts():
+    teaser = "<article><p><a href=/t>One</a></p><p><a href=/t>Two</a></p></article>"
+    rows = "".join(f"<tr><td><a href=/{k}><b><i>{k}</i></b></a></td></tr>" for k in range(9))
+    page = f"<article><table>{rows}</table></article><article><h1>Title</h1><p>{LONG * 3}</p><p>Short.</p></article>{teaser * 3}"
+    assert main_blocks(f"<body>{page}</body>") == ["Title", LONG * 3, "Short."]
+
+
+@pytest.mark.parametrize("tag", ["<div class=nav>", "<div>", "<form>", "<span class=menu>", "<article>"])
+def test_hostile_nesting_takes_linear_time(tag):
+    started = time.monotonic()
+    main_blocks(tag * 5000 + LONG)
+    main_blocks("".join(tag + LONG for _ in range(5000)))
+    assert time.monotonic() - started < 2
+
+
+def plain_selection(html):
+    """The selection as its definition reads, every step over all lines and all ancestors."""
+    page = html_extract._Lines()
+    page.feed(html)
+    lines = page.finish()
+    out = html_extract._outside(page)
+
+    def ancestors(line):
+        at, found = line.element, [0]
+        while at:
+            found.append(at)
+            at = page.parent[at]
+        return set(found)
+
+    marked = any(line.part and not gone for line, gone in zip(lines, out))
+    able = [not gone and bool(line.part or not marked) for line, gone in zip(lines, out)]
+    ratios = [len(line.text) / max(1, line.tags) * ok for line, ok in zip(lines, able)]
+    if not any(ratios):
+        return []
+    smooth = []
+    for i in range(len(lines)):
+        weights = {j: math.exp(-((i - j) ** 2) / 2) for j in range(len(lines)) if abs(i - j) <= 3}
+        smooth.append(sum(w * ratios[j] for j, w in weights.items()) / sum(weights.values()))
+    limit = statistics.pstdev(smooth)
+    reach = {i for i, r in enumerate(ratios) if r and max(r, smooth[i]) >= limit * (1 - 1e-12)}
+    content = {i for i in reach if not lines[i].links} or reach
+    beside = set()
+    for k, line in enumerate(lines):
+        for i in content:
+            between = range(min(i, k) + (k > i), max(i, k) + (k > i))
+            if 0 < abs(i - k) <= 3 and k not in content and all(able[n] and not lines[n].links and n not in content for n in between):
+                beside.add(k)
+    content |= beside
+    if marked:
+        return [x.text for x, ok in zip(lines, able) if ok and x.part in {lines[i].part for i in content}]
+    common = set.intersection(*(ancestors(lines[i]) for i in content))
+    region = max(common)
+    held = lambda e: [i for i, x in enumerate(lines) if able[i] and e in ancestors(x)]
+    if len(held(region)) == 1:
+        wider = [e for e in sorted(ancestors(lines[min(content)]), reverse=True) if e < region and len(held(e)) > 1]
+        region = wider[0] if wider else region
+    inside = held(region)
+    while inside and lines[inside[0]].links and any(not lines[i].links for i in inside):
+        inside.pop(0)
+    while inside and lines[inside[-1]].links and any(not lines[i].links for i in inside):
+        inside.pop()
+    return [lines[i].text for i in inside]
+
+
+def test_selection_equals_its_definition():
+    draw = random.Random(7)
+    pieces = [
+        "<div>", "</div>", "<p>", "</p>", "<ul><li>", "</ul>", "<a href=/>link</a>", "<a href=/>", "</a>", "<nav>menu</nav>", "<article>",
+        "</article>", "<main>", "<div class=menu>", "<div class='x-ads'>", "<form>", "</form>", "<h2>", "</h2>", "<b>", "</b>", "<br>",
+        "word ", LONG, LONG * 3, "<script>s</script>", "<header>", "</header>", "<span class=ad>", "</span>",
+    ]
+    for _ in range(3000):
+        html = "".join(draw.choices(pieces, k=draw.randint(1, 40)))
+        assert main_blocks(html) == plain_selection(html), html
+
+
 def test_pages_of_all_kinds(spark):
     rows = [(1, "u", DIVS, "x"), (1, "u", DIVS, "x"), (2, None, None, None), (None, "", "", None), (3, "v", f"<p>{LONG * 5000}", "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
