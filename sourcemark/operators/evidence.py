@@ -36,9 +36,9 @@ def page_of(pages: Column, offset: Column) -> Column:
 
 
 def nth_visible(text: Column, nth: Column) -> Column:
-    """0-based index in ``text`` of its ``nth`` (0-based) non-whitespace character.
+    """0-based index in ``text``, which is short, of its ``nth`` (0-based) non-whitespace character.
 
-    Bisection that only counts the half it looks at, so all steps together read the text once.
+    Bisection: every step counts the half it looks at, and walks to it from the start of the text.
     """
     steps = F.sequence(F.lit(1), F.ceil(F.log2(F.char_length(text) + 1)).cast("int") + 1)
     # The character stands at or behind ``low``, which ``seen`` visible ones precede, and before ``high``.
@@ -61,6 +61,34 @@ def _halve(text: Column, nth: Column, acc: Column) -> Column:
     return F.get(F.transform(F.array(inside), narrowed), F.lit(0))
 
 
+# Characters between the marks of a text's map.
+MAP_STEP = 1_024
+
+
+def offset_map(text: Column) -> Column:
+    """The text in blocks of ``MAP_STEP`` characters with the visible characters of each, in one pass."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{MAP_STEP}}}"), F.lit(0))
+    return F.transform(blocks, lambda b: F.struct(b.alias("text"), F.char_length(tx.squeeze(b)).alias("visible")))
+
+
+def placed_by_map(mapped: Column, nth: Column) -> Column:
+    """As :func:`nth_visible` of the whole text: the block by its counts, then the place within that block."""
+    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("seen"), F.lit(False).alias("there"))
+
+    def passed(acc: Column, block: Column) -> Column:
+        there = acc["there"] | (acc["seen"] + block["visible"] > nth)
+        return F.struct(
+            F.when(there, acc["block"]).otherwise(acc["block"] + 1).alias("block"),
+            F.when(there, acc["seen"]).otherwise(acc["seen"] + block["visible"]).alias("seen"),
+            there.alias("there"),
+        )
+
+    def inside(at: Column) -> Column:
+        return at["block"] * MAP_STEP + nth_visible(F.get(mapped, at["block"])["text"], nth - at["seen"])
+
+    return F.get(F.transform(F.array(F.aggregate(mapped, start, passed)), inside), F.lit(0))
+
+
 def _read_quotes(df: DataFrame, quote: str) -> DataFrame:
     """Add the quote as searched for (_q) and why it is not searched for at all (_why)."""
     return df.withColumn("_q", tx.strip(tx.nfc(F.coalesce(F.col(quote), F.lit(""))))).withColumn(
@@ -70,11 +98,12 @@ def _read_quotes(df: DataFrame, quote: str) -> DataFrame:
 
 
 def _looser_texts(df: DataFrame, text: str, needed: Column) -> DataFrame:
-    """Add the text with plain spaces, squeezed and collapsed, where ``needed``."""
+    """Add the text with plain spaces, squeezed, collapsed, and as an offset map, where ``needed``."""
     return (
         df.withColumn("_plain", F.when(needed, tx.plain_spaces(F.col(text))))
         .withColumn("_st", tx.squeeze(F.col("_plain")))
         .withColumn("_ct", tx.collapse(F.col("_plain")))
+        .withColumn("_map", offset_map(F.col("_plain")))
     )
 
 
@@ -98,9 +127,10 @@ def _placed(claims: str, names: list[str], text: Column, pages: Column) -> Colum
     """From _q, _why, _at and the looser texts to the outcome fields, claim by claim.
 
     Each tier is evaluated only for claims the tighter one missed. Looser matches are placed by
-    the number of visible characters before them, whatever the length of the quote.
+    the number of visible characters before them, whatever the length of the quote: one look into
+    the text's map, which all claims share, and one into a single block.
     """
-    plain, squeezed_text, collapsed_text = F.col("_plain"), F.col("_st"), F.col("_ct")
+    mapped, squeezed_text, collapsed_text = F.col("_map"), F.col("_st"), F.col("_ct")
     exact, collapsed, squeezed = MATCH_KINDS
     out = _with(F.col(claims), names, _pq=lambda c: F.when(c["_at"] == 0, tx.plain_spaces(c["_q"])))
     out = _with(out, names, _sq=lambda c: tx.squeeze(c["_pq"]))
@@ -124,10 +154,10 @@ def _placed(claims: str, names: list[str], text: Column, pages: Column) -> Colum
         out,
         names,
         char_start=lambda c: F.when(c["match_kind"] == exact, c["_at"] - 1)
-        .when(c["_v"].isNotNull(), nth_visible(plain, c["_v"]))
+        .when(c["_v"].isNotNull(), placed_by_map(mapped, c["_v"]))
         .cast("int"),
         char_end=lambda c: F.when(c["match_kind"] == exact, c["_at"] - 1 + F.char_length(c["_q"]))
-        .when(c["_v"].isNotNull(), nth_visible(plain, c["_v"] + F.char_length(c["_sq"]) - 1) + 1)
+        .when(c["_v"].isNotNull(), placed_by_map(mapped, c["_v"] + F.char_length(c["_sq"]) - 1) + 1)
         .cast("int"),
         occurrences=lambda c: F.when(c["match_kind"] == exact, tx.occurrences(text, c["_q"]))
         .when(c["match_kind"] == collapsed, tx.occurrences(collapsed_text, c["_cq"]))
@@ -180,10 +210,24 @@ def resolve(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFram
     placed inside the bundle; only their outcomes are given rows. A claim whose document is
     unknown is reported as not found.
     """
+    bundles = attach_bundles(read_quotes(claims), as_sources(docs, key), key, "_claims")
+    return place_bundles(bundles, [c for c in claims.columns if c != key], key)
+
+
+def read_quotes(claims: DataFrame) -> DataFrame:
+    """Claims as they are nested: with the quote as searched for, and why it is not searched for at all."""
+    return _read_quotes(claims, "quote")
+
+
+def as_sources(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents as they are searched: the text in NFC, and the pages if there are any."""
     pages = F.col("pages") if "pages" in docs.columns else F.lit(None)
-    sources = docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.cast(_NO_PAGES).alias("_pages"))
-    bundles = attach_bundles(_read_quotes(claims, "quote"), sources, key, "_claims")
-    names = [c for c in claims.columns if c != key] + ["_q", "_why"]
+    return docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.cast(_NO_PAGES).alias("_pages"))
+
+
+def place_bundles(bundles: DataFrame, columns: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """Outcomes of sources with their claims (``columns``, and what :func:`read_quotes` adds) nested as ``_claims``."""
+    names = [*columns, "_q", "_why"]
     searched = bundles.withColumn("_text", F.coalesce(F.col("_text"), F.lit(""))).withColumn(
         "_claims", _searched("_claims", names, F.col("_text"))
     )

@@ -189,3 +189,18 @@ def test_texts_stay_out_of_the_rows_of_claims(spark):
     assert not [line for line in plan.splitlines() if "Filter" in line and "instr" in line]
     below = plan.split("Generate")[1].splitlines()[1]
     assert "Project" in below and "_text#" not in below.rpartition("AS _claims")[2]
+
+
+def test_long_texts_are_placed_through_their_map(spark):
+    rng = random.Random(5)
+    pairs = []
+    for size in (1, 1023, 1024, 1025, 5000, 200_000):
+        text = "".join(rng.choice("ab\U0001f600ก  \n　") for _ in range(size)) + "the last words 12345"
+        visible = re.sub(r"\s", "", text)
+        for _ in range(6):
+            at = rng.randrange(len(visible))
+            pairs.append((text, visible[at : at + rng.randint(9, 60)]))
+        pairs.append((text, "thelastwords12345"))
+    for (text, quote), row in zip(pairs, locate(spark, pairs), strict=True):
+        kind, start, end, n = brute(text, quote)
+        assert (row.match_kind or row.reason, row.char_start, row.char_end, row.occurrences) == (kind, start, end, n)
