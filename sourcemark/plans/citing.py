@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sourcemark.operators import evidence as ev
 from sourcemark.operators import profiles as pf
 from sourcemark.plans.common import WS, DataFrame, SparkSession, sql_round, table
+from sourcemark.session import use_checkpoint_dir
+from sourcemark.sources.placed import Placed, bundles, store_placed
 
 _AT = "(1 + (doc_id * 7919) % greatest(1, length(text) - 60))"
 
@@ -74,11 +78,37 @@ TOLD = 8
 def resolve_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every claim placed; page boundaries stand every 1000 characters."""
     docs = table(spark, sf_dir, "documents")
+    return _shown(ev.resolve(_claims(docs), _paged(docs)))
+
+
+def resolve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from tables stored by document: neither texts nor claims are exchanged, but for hot documents."""
+    use_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/placed-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    stored = {
+        name: store_placed(rows, f"{root}/{name}", "doc_id", 8) for name, rows in (("docs", _paged(docs)), ("claims", _claims(docs)))
+    }
+    claims, texts = stored["claims"], stored["docs"]
+    columns = [c for c in claims.even.columns if c != "doc_id"]
+    nested = bundles(
+        Placed("doc_id", ev.read_quotes(claims.even), ev.read_quotes(claims.hot)),
+        Placed("doc_id", ev.as_sources(texts.even), ev.as_sources(texts.hot)),
+        "_claims",
+    )
+    return _shown(ev.place_bundles(nested, columns))
+
+
+def _paged(docs: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(1000))
     pages = F.transform(
         starts, lambda at: F.struct((at / 1000 + 1).cast("int").alias("page_number"), at.alias("char_start"), (at + 1000).alias("char_end"))
     )
-    return ev.resolve(_claims(docs), docs.select("doc_id", "text", pages.alias("pages"))).select(
+    return docs.select("doc_id", "text", pages.alias("pages"))
+
+
+def _shown(outcomes: DataFrame) -> DataFrame:
+    return outcomes.select(
         "doc_id", "claim_no", "quote", "found", "char_start", "char_end", "match_kind",
         F.when(F.col("occurrences") > TOLD, TOLD).otherwise(F.col("occurrences")).alias("occurrences"),
         "is_ambiguous", "page", "reason",
@@ -340,6 +370,7 @@ SELECT doc_id, attempt, met, dropped, calls::INTEGER AS calls FROM r WHERE k = 1
 
 QUERIES = {
     "resolve_claims": resolve_claims,
+    "resolve_stored": resolve_stored,
     "evidence_stats": evidence_stats,
     "split_outcomes": split_outcomes,
     "flatten_profile": flatten_profile,
@@ -350,6 +381,7 @@ QUERIES = {
 }
 ORACLES = {
     "resolve_claims": RESOLVE_CLAIMS,
+    "resolve_stored": RESOLVE_CLAIMS,
     "evidence_stats": EVIDENCE_STATS,
     "split_outcomes": SPLIT_OUTCOMES,
     "flatten_profile": FLATTEN_PROFILE,
