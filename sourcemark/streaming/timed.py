@@ -86,7 +86,8 @@ class InOrder(StatefulProcessor):
     # What they share.
 
     def _known(self) -> tuple | None:
-        return tuple(self.state.get()) if self.state.exists() else None
+        held = self.state.get()
+        return None if held is None else tuple(held)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         # Whole numbers stay whole next to missing ones.
@@ -115,8 +116,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: tuple(r)[:2]) if self.waiting.exists() else []
-        rows = [tuple(r) for r in rows]
+        rows = sorted(map(tuple, self.waiting.get()), key=lambda r: r[:2])
         ready = [r for r in rows if r[0] + self.hold < passed]
         rest = rows[len(ready) :]
         before = self._known()
@@ -133,11 +133,13 @@ class InOrder(StatefulProcessor):
             self.state.update(known)
         if rest and ready:
             self._wake(rest[0][0] + self.hold)
-        if known is not None and known != before:
-            again = self.due(known)
+        if known is not None:
+            again = self.due(known) if known != before else None
             if again is not None and again >= passed:
                 self._wake(again)
-            self._wake(known[0] + self.linger)
+            # One timer at a time looks whether the state is idle: it is set first, and again when it came too early.
+            if before is None or not ready:
+                self._wake(known[0] + self.linger)
         yield self._frame(out)
 
 
@@ -265,7 +267,7 @@ class _Watch(InOrder):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # The next update after the last one that is settled now may still be waiting.
-        self.following = sorted(tuple(r)[:2] for r in self.waiting.get()) if self.waiting.exists() else []
+        self.following = sorted(tuple(r)[:2] for r in self.waiting.get())
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
     def work(self, key, known, ready, passed):
