@@ -228,10 +228,14 @@ def follow_screenings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _followed(part: int) -> str:
+    """What each status asks for, as an SQL list: the state (0) or the note (1)."""
+    return ", ".join(f"'{lc.FOLLOWED[status][part]}'" for status in ("pending", "processing", "completed", "failed", "dead_lettered"))
+
+
 FOLLOW_SCREENINGS = f"""WITH RECURSIVE {_TRANSITIONS}, {_PEOPLE_SQL},
 u AS (SELECT o_orderkey AS screening_id, o_custkey % 25 AS job_id, o_custkey // 2 AS candidate_id, o_orderdate AS asked_at,
-  ['screening','screening','screened','applied','applied',NULL][(o_orderkey % 6 + 1)::INTEGER] AS to_state,
-  ['a screening was queued','a screening was queued','the screening completed','the screening could not be produced','the screening could not be produced',NULL][(o_orderkey % 6 + 1)::INTEGER] AS note FROM orders),
+  [{_followed(0)}, NULL][(o_orderkey % 6 + 1)::INTEGER] AS to_state, [{_followed(1)}, NULL][(o_orderkey % 6 + 1)::INTEGER] AS note FROM orders),
 m AS (SELECT screening_id, application_id, to_state, note, row_number() OVER (PARTITION BY application_id ORDER BY asked_at, screening_id) - 1 AS seq
   FROM u JOIN applications USING (job_id, candidate_id) WHERE to_state IS NOT NULL),
 w AS (

@@ -336,7 +336,7 @@ def role_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("quote").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-_ROLE_RE = r"'^(.+?)\s*[—–-]\s*(.+?)\s*\(([^)\-–—]+?)\s*[-–—]\s*([^)]+?)\)\s*$'"
+_ROLE_RE = f"'{sec.ROLE_LINE}'"
 ROLE_LINES = _ROLES + "SELECT doc_id, line_no, " + ", ".join(
     f"trim(regexp_extract(line, {_ROLE_RE}, {i})) AS \"{name}\"" for i, name in enumerate(("company", "title", "start", "end"), 1)
 ) + f" FROM n WHERE regexp_matches(line, {_ROLE_RE})"
@@ -347,7 +347,7 @@ def education_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("quote").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-_EDU_RE = r"'^(.+?)\s*[—–-]\s*(.+?)\s*(?:\(.*\))?$'"
+_EDU_RE = f"'{sec.EDUCATION_LINE}'"
 EDUCATION_LINES = _ROLES + "SELECT doc_id, line_no, " + ", ".join(
     f"trim(regexp_extract(line, {_EDU_RE}, {i})) AS {name}" for i, name in enumerate(("institution", "credential"), 1)
 ) + f" FROM n WHERE regexp_matches(line, {_EDU_RE})"
