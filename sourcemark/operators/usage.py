@@ -170,7 +170,8 @@ def report_notes(report: DataFrame) -> DataFrame:
     )
 
 
-def dropped_note(dropped: Column) -> Column:
-    """How many claims were refused, in words; null when none were."""
+def dropped_note(dropped: Column, grouped: bool = True) -> Column:
+    """How many claims were refused, in words; null when none were. ``grouped``: thousands set apart, as on a screen."""
     noun = F.when(dropped == 1, " claim dropped").otherwise(" claims dropped")
-    return F.when(dropped > 0, F.concat(F.format_number(dropped, 0), noun))
+    number = F.format_number(dropped, 0) if grouped else dropped.cast("string")
+    return F.when(dropped > 0, F.concat(number, noun))

@@ -141,7 +141,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
     )
     out = us.quality(profiles, ["source"])
-    return out.withColumn("note", us.dropped_note(F.col("claims_dropped")))
+    return out.withColumn("note", us.dropped_note(F.col("claims_dropped"), grouped=False))
 
 
 QUALITY = """SELECT source, count(*) AS profiles, sum(quality)::BIGINT AS claims_verified, sum(toxic)::BIGINT AS claims_dropped,
