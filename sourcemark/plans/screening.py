@@ -379,7 +379,7 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request whose terms are all benchmark passages, over every document."""
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_no"), F.col("text").alias("term"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rt.retrieve(terms, docs).select(
+    return rt.retrieve(terms, docs, digits=6).select(
         "doc_id", F.round("score", 6).alias("score"), F.size("matched").alias("matched"), "place"
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sourcemark.operators import retrieval as rt
 from sourcemark.operators import usage as us
 from sourcemark.plans import usage_report as ur
 
@@ -15,3 +16,16 @@ def test_thousands_are_set_apart_on_screens_only(spark, tmp_path):
     rows.select(F.col("id").alias("doc_id"), F.lit("s").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
     rows.select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(1).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
     assert [r.note for r in ur.quality(spark, str(tmp_path)).collect()] == ["1500 claims dropped"]
+
+
+# The second document has the rarer token: it scores a little more than the first.
+NEARLY = {1: "common rust", 2: "common java", 3: "common", 4: "rust"}
+
+
+def test_scores_that_agree_to_the_digits_asked_for_tie(spark):
+    terms = spark.createDataFrame([(0, "rust"), (1, "java")], "term_no int, term string")
+    docs = spark.createDataFrame(list(NEARLY.items()), "doc_id bigint, text string")
+    order = lambda rows: [r.doc_id for r in sorted(rows.collect(), key=lambda r: r.place)]
+    assert order(rt.retrieve(terms, docs)) == [2, 1, 4, 3]
+    assert order(rt.retrieve(terms, docs, digits=6)) == [2, 1, 4, 3]
+    assert order(rt.retrieve(terms, docs, digits=0)) == [1, 2, 4, 3]
