@@ -99,9 +99,9 @@ class PostingStore:
         counts = self._read("frequencies").where(here).join(wanted, by).groupBy(*by).agg(F.sum("df").alias("df"))
         return hits.join(gone, "doc_id", "left_anti"), counts.where(F.col("df") > 0)
 
-    def retrieve(self, terms: DataFrame) -> DataFrame:
+    def retrieve(self, terms: DataFrame, digits: int | None = None) -> DataFrame:
         """As :func:`retrieval.retrieve` over the documents of the store; no text is read."""
-        return ranked(terms, self.documents(), self.asked, self.scope)
+        return ranked(terms, self.documents(), self.asked, self.scope, digits)
 
     def compact(self, path: str, batch: int = 0) -> "PostingStore":
         """All batches as one in a new store at ``path``, without the removed documents."""

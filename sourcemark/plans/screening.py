@@ -410,7 +410,7 @@ def retrieve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").select(
         F.get(langs, (F.col("item_id") % 4).cast("int")).alias("owner_id"), F.col("item_id").alias("term_no"), F.col("text").alias("term")
     )
-    return store.retrieve(terms).select(
+    return store.retrieve(terms, digits=6).select(
         "owner_id", "doc_id", F.round("score", 6).alias("score"), F.sha2(F.array_join("matched", "\n"), 256).alias("matched_sha256"), "place"
     )
 

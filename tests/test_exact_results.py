@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sourcemark.operators import retrieval as rt
 from sourcemark.operators import usage as us
+from sourcemark.operators.postings import PostingStore
 from sourcemark.plans import usage_report as ur
 
 
@@ -29,3 +30,12 @@ def test_scores_that_agree_to_the_digits_asked_for_tie(spark):
     assert order(rt.retrieve(terms, docs)) == [2, 1, 4, 3]
     assert order(rt.retrieve(terms, docs, digits=6)) == [2, 1, 4, 3]
     assert order(rt.retrieve(terms, docs, digits=0)) == [1, 2, 4, 3]
+
+
+def test_stored_scores_that_agree_tie_as_well(spark, tmp_path):
+    terms = spark.createDataFrame([(0, "rust"), (1, "java")], "term_no int, term string")
+    store = PostingStore(spark, f"{tmp_path}/store", shards=2).create()
+    store.add(spark.createDataFrame(list(NEARLY.items()), "doc_id bigint, text string"), 0)
+    order = lambda rows: [r.doc_id for r in sorted(rows.collect(), key=lambda r: r.place)]
+    assert order(store.retrieve(terms, digits=6)) == [2, 1, 4, 3]
+    assert order(store.retrieve(terms, digits=0)) == [1, 2, 4, 3]
