@@ -16,6 +16,15 @@ def round_exact(value: Column, digits: int) -> Column:
     tie) goes down there and up here. Only values next to a tie take the careful branches.
     """
     scale = 10**digits
+    # Most values need no care: the product is exact (few binary places), or its error is far smaller than the way to a tie.
+    product = value * F.lit(float(scale))
+    whole_bits = value * F.lit(1024.0)
+    exact = (F.abs(value) < 2.0**43 / scale) & (F.rint(whole_bits) == whole_bits)
+    far = (F.abs(value) < 1e9 / scale) & (F.abs(product - F.floor(product) - 0.5) > _NEAR)
+    return F.when(exact | far, F.rint(product) / F.lit(float(scale))).otherwise(_with_care(value, scale, digits))
+
+
+def _with_care(value: Column, scale: int, digits: int) -> Column:
     magnitude = F.abs(value)
     whole = F.floor(magnitude)
     fraction = magnitude - whole

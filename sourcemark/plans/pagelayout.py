@@ -170,23 +170,24 @@ SELECT doc_id, page, sha256(string_agg(line, chr(10) ORDER BY region_no, row_no)
 
 
 def _chars(turns: DataFrame) -> DataFrame:
-    """Characters on a grid of eighty to the line, at positions that need rounding."""
-    chars = turns.select(
+    """Characters on a grid of eighty to the line, at positions that need rounding; an array a page."""
+
+    def placed(ch, idx):
+        column, line = idx % 80, F.floor(idx / 80)
+        return F.struct(
+            idx.alias("idx"),
+            ch.alias("ch"),
+            (column * 7.125).alias("x0"),
+            (column * 7.125 + 7).alias("x1"),
+            (line * 12.375).alias("top"),
+            (line * 12.375 + 10).alias("bottom"),
+            (~ch.isin(" ", "\n")).alias("has_ink"),
+        )
+
+    return turns.select(
         F.col("conv_id").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page"),
-        F.posexplode(F.split("text", "", -1)).alias("idx", "ch"),
-    )
-    column, line = F.col("idx") % 80, F.floor(F.col("idx") / 80)
-    return chars.select(
-        "doc_id",
-        "page",
-        "idx",
-        "ch",
-        (column * 7.125).alias("x0"),
-        (column * 7.125 + 7).alias("x1"),
-        (line * 12.375).alias("top"),
-        (line * 12.375 + 10).alias("bottom"),
-        (~F.col("ch").isin(" ", "\n")).alias("has_ink"),
+        F.transform(F.split("text", "", -1), placed).alias("chars"),
     )
 
 
@@ -224,8 +225,13 @@ CHAR_RUNS = f"""WITH {_CHARS_SQL} SELECT doc_id, page, min(idx) AS char_start, a
 
 def remap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 37th character is removed from the text."""
-    chars = _chars(table(spark, sf_dir, "conversations"))
-    removed = chars.where(F.col("idx") % 37 == 0).select("doc_id", "page", "idx")
+    turns = table(spark, sf_dir, "conversations")
+    chars = _chars(turns)
+    removed = turns.where(F.char_length("text") > 0).select(
+        F.col("conv_id").alias("doc_id"),
+        (F.col("turn") + 1).cast("int").alias("page"),
+        F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(37))).alias("idx"),
+    )
     return _run_rows(gm.remap_runs(gm.char_runs(chars), removed))
 
 
