@@ -112,7 +112,9 @@ class InOrder(StatefulProcessor):
         if new:
             self.waiting.appendList(new)
             self._wake(min(r[0] for r in new) + self.hold)
-        yield self._frame(late)
+        # A frame costs as much as the work on a key: none is made for nothing.
+        if late:
+            yield self._frame(late)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -140,7 +142,8 @@ class InOrder(StatefulProcessor):
             # One timer at a time looks whether the state is idle: it is set first, and again when it came too early.
             if before is None or not ready:
                 self._wake(known[0] + self.linger)
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
 
 class _Follow(InOrder):
