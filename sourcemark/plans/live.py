@@ -26,31 +26,38 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-# Files a table arrives in, and how far apart in time rows of neighbouring moments may arrive.
+# Parts a table arrives in, a micro-batch each, and rows per file of a part, which are written side by side.
 _FILES = 4
+_FILE_ROWS = 50_000
 _FAR = "timestamp'2035-01-01 00:00:00'"
 
 
 def _arrivals(spark: SparkSession, rows: DataFrame, key: str, tie: str, delay: int) -> DataFrame:
-    """``rows`` (with ``at``) as a stream of files out of order by up to ``delay`` seconds, one file a micro-batch.
+    """``rows`` (with ``at``) as a stream of files out of order by up to ``delay`` seconds, in parts of a micro-batch each.
+
+    All parts have the same number of files, empty ones among them, so a micro-batch never ends within a part.
 
     A last file holds one row of no other key far in the future, which moves the watermark past all others.
     """
     root = f"{_shared_root(spark)}/arrivals-{uuid.uuid4().hex}"
     jitter = F.make_dt_interval(secs=F.pmod(F.xxhash64(tie), F.lit(delay)))
     came = rows.withColumn("came", F.col("at") + jitter)
-    low, high = came.agg(F.min(F.unix_micros("came")), F.max(F.unix_micros("came"))).first()
+    low, high, count = came.agg(F.min(F.unix_micros("came")), F.max(F.unix_micros("came")), F.count(F.lit(1))).first()
     low, high = low or 0, high or 0
     part = F.floor((F.unix_micros("came") - low) * _FILES / max(1, high - low + 1)).alias("part")
     dealt = settle(came.select(*rows.columns, part))
+    files = max(1, -(-count // (_FILES * _FILE_ROWS)))
     for number in range(_FILES):
-        dealt.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(root)
+        dealt.where(F.col("part") == number).drop("part").repartition(files).write.mode("append").parquet(root)
+        written = len(spark.read.schema(rows.schema).parquet(root).inputFiles())
+        for _ in range((number + 1) * files - written):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(root)
     fixed = {key: F.lit(-1), tie: F.lit(0), "at": F.expr(_FAR)}
     last = spark.range(1).select(
         *[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
     )
     last.coalesce(1).write.mode("append").parquet(root)
-    return feeds.read_arrivals(spark, root, rows.schema).withWatermark("at", f"{delay} seconds")
+    return feeds.read_arrivals(spark, root, rows.schema, files).withWatermark("at", f"{delay} seconds")
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
