@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcemark.session import settle
+from sourcemark.operators.joins import small_side
 
 
 def _section(df: DataFrame, name: str, at: Column, key: Column, item: Column) -> DataFrame:
@@ -162,9 +162,9 @@ def erase_accounts(tables: dict[str, DataFrame], accounts: DataFrame) -> dict[st
     """Surviving rows of every table, plus ``storage_keys``: the stored files to delete first.
 
     Doomed keys travel down the foreign keys, so each table is filtered by anti joins on the
-    keys that were erased above it; rows with a null key are kept without being shuffled.
+    keys that were erased above it, in one reading of the table.
     """
-    doomed = {"accounts": accounts.select("account_id").distinct()}
+    doomed = {"accounts": small_side(accounts.select("account_id").distinct())}
     survivors = {"accounts": tables["accounts"].join(doomed["accounts"], "account_id", "left_anti")}
     for child in dict.fromkeys(edge[0] for edge in CASCADE):
         if child not in tables:
@@ -181,12 +181,10 @@ def erase_accounts(tables: dict[str, DataFrame], accounts: DataFrame) -> dict[st
             for more in gone[1:]:
                 keys = keys.unionByName(more)
             # Written once: every table below reads these few keys.
-            doomed[child] = settle(keys.distinct())
+            doomed[child] = small_side(keys.distinct())
         rest = tables[child]
         for key, parent in edges:
-            erased = doomed[parent].withColumnRenamed(KEY_OF[parent], key)
-            with_key = rest.where(F.col(key).isNotNull()).join(erased, key, "left_anti")
-            rest = with_key.unionByName(rest.where(F.col(key).isNull()))
+            rest = _dealt(rest, key).join(_erased(doomed[parent], KEY_OF[parent], key), [key, _SALT], "left_anti").drop(_SALT)
         survivors[child] = rest.select(*tables[child].columns)
     for child, key, parent in SET_NULL:
         if child in survivors and parent in doomed:
@@ -197,9 +195,22 @@ def erase_accounts(tables: dict[str, DataFrame], accounts: DataFrame) -> dict[st
     return survivors
 
 
+_SALT = "_salt"
+# Tasks over which rows without a key are dealt.
+NULL_SALTS = 1_000
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that name nobody match nothing; a salt keeps them from meeting in one task."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(NULL_SALTS)).cast("int")
+    return rows.withColumn(_SALT, F.when(F.col(key).isNull(), salt).otherwise(-1))
+
+
+def _erased(keys: DataFrame, name: str, key: str) -> DataFrame:
+    return keys.select(F.col(name).alias(key), F.lit(-1).alias(_SALT))
+
+
 def _forget(rows: DataFrame, key: str, erased: DataFrame, erased_key: str) -> DataFrame:
-    columns = rows.columns
-    marked = erased.select(F.col(erased_key).alias(key)).withColumn("_erased", F.lit(True))
-    named = rows.where(F.col(key).isNotNull()).join(marked, key, "left")
-    cleared = named.withColumn(key, F.when(F.col("_erased").isNull(), F.col(key))).select(*columns)
-    return cleared.unionByName(rows.where(F.col(key).isNull()).select(*columns))
+    marked = _erased(erased, erased_key, key).withColumn("_erased", F.lit(True))
+    named = _dealt(rows, key).join(marked, [key, _SALT], "left")
+    return named.withColumn(key, F.when(F.col("_erased").isNull(), F.col(key))).select(*rows.columns)

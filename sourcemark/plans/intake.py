@@ -240,7 +240,7 @@ def erase_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = {name: ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) for name, rows in tables.items()}
     er.erase_stored(er.read_tables(spark, f"{root}/tables", schemas), asking, f"{root}/tables", f"{root}/files")
     left = er.read_tables(spark, f"{root}/tables", schemas)
-    gone = keyed.read_by_key(spark, f"{root}/files", before).where(F.col("length").isNull())
+    gone = keyed.read_by_key(spark, f"{root}/files", before, opened=False).where(F.col("length").isNull())
     return _survivors({**left, "storage_keys": gone})
 
 

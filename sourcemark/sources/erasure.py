@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sourcemark.operators.privacy import SET_NULL, erase_accounts
 from sourcemark.session import settle
-from sourcemark.sources.keyed import located
+from sourcemark.sources.keyed import dealt, located
 
 PARTS = 16
 
@@ -29,10 +29,10 @@ class FilesKept(RuntimeError):
 
 
 def store_tables(tables: dict[str, DataFrame], root: str, parts: int = PARTS) -> None:
-    """Write every table in parts below ``root``."""
+    """Write every table in parts below ``root``. A task writes its share of every part, so the work is not tied to the number of parts."""
     for name, rows in tables.items():
         part = F.pmod(F.xxhash64(rows.columns[0]), F.lit(parts)).cast("int")
-        rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{root}/{name}")
+        rows.withColumn("part", part).write.partitionBy("part").parquet(f"{root}/{name}")
 
 
 def read_tables(spark: SparkSession, root: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
@@ -64,7 +64,7 @@ def stage(tables: dict[str, DataFrame], survivors: dict[str, DataFrame], root: s
         parts = _touched(tables, survivors, name)
         if parts:
             touched[name] = parts
-            survivors[name].where(F.col("part").isin(parts)).write.parquet(f"{folder}/{name}")
+            survivors[name].where(F.col("part").isin(parts)).write.partitionBy("part").parquet(f"{folder}/{name}")
     return folder, touched
 
 
@@ -87,7 +87,7 @@ def _deleted(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def delete_files(keys: DataFrame, root: str) -> DataFrame:
     """Delete the files of ``keys`` (storage_key): storage_key, error (null if it is gone)."""
     asked = keys.select("storage_key").where(F.col("storage_key").isNotNull())
-    return asked.mapInArrow(lambda batches: _deleted(root, batches), "storage_key string, error string")
+    return dealt(asked).mapInArrow(lambda batches: _deleted(root, batches), "storage_key string, error string")
 
 
 def publish(tables: dict[str, DataFrame], root: str, folder: str, touched: dict[str, list[int]]) -> None:
@@ -96,7 +96,7 @@ def publish(tables: dict[str, DataFrame], root: str, folder: str, touched: dict[
         schema = tables[name].schema
         staged = tables[name].sparkSession.read.schema(schema).parquet(f"{folder}/{name}")
         held = {r.part for r in staged.select("part").distinct().collect()}
-        writer = staged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("part").parquet(f"{root}/{name}")
         # A part that lost all its rows has nothing staged to replace it.
         for part in set(parts) - held:

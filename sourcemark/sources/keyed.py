@@ -64,6 +64,7 @@ class KeyedReader(DataSourceReader):
         self.root = options["root"].rstrip("/")
         self.keys = options["keys"]
         self.per_task = int(options.get("keys_per_task", KEYS_PER_TASK))
+        self.opened = options.get("opened", "true") == "true"
 
     def partitions(self) -> list[KeyRange]:
         """Ranges of keys, from the footers of the key table."""
@@ -81,6 +82,10 @@ class KeyedReader(DataSourceReader):
         store, root = located(self.root)
         with system.open_input_file(partition.part) as file:
             keys = pq.read_table(file, columns=["storage_key"]).column(0).slice(partition.first, partition.count).to_pylist()
+        if not self.opened:
+            lengths = [info.size for info in store.get_file_info([f"{root}/{key}" for key in keys])]
+            yield _batch([(key, length, None) for key, length in zip(keys, lengths, strict=True)])
+            return
         held: list[tuple] = []
         size = 0
         for key in keys:
@@ -113,10 +118,10 @@ class KeyedFiles(DataSource):
         return KeyedReader(dict(self.options))
 
 
-def read_by_key(spark: SparkSession, root: str, keys: DataFrame, per_task: int = KEYS_PER_TASK) -> DataFrame:
+def read_by_key(spark: SparkSession, root: str, keys: DataFrame, per_task: int = KEYS_PER_TASK, opened: bool = True) -> DataFrame:
     """The files below ``root`` that ``keys`` (storage_key) asks for, each once: storage_key, length, content.
 
-    Null keys ask for nothing; keys that lead out of the store are refused.
+    With ``opened`` false, only their lengths are looked up and the content is null. Null keys ask for nothing; keys that lead out of the store are refused.
     """
     spark.dataSource.register(KeyedFiles)
     asked = keys.select("storage_key").where(F.col("storage_key").isNotNull()).distinct()
@@ -128,7 +133,7 @@ def read_by_key(spark: SparkSession, root: str, keys: DataFrame, per_task: int =
     folder = f"{spark.sparkContext.getCheckpointDir()}/keys-{uuid.uuid4().hex}"
     asked.sortWithinPartitions("storage_key").write.parquet(folder)
     reader = spark.read.format(FORMAT).option("root", root).option("keys", folder)
-    return reader.option("keys_per_task", str(per_task)).load()
+    return reader.option("keys_per_task", str(per_task)).option("opened", str(opened).lower()).load()
 
 
 def _stored(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +151,12 @@ def _stored(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.record_batch([batch.column(0)], ["storage_key"])
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """Rows over all shuffle partitions by key: opening a file costs far more than the bytes of a row, by which Spark would size its tasks."""
+    count = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(count, "storage_key")
+
+
 def store_files(files: DataFrame, root: str) -> DataFrame:
     """Write ``content`` under its ``storage_key`` below ``root``; the keys written. A retried task writes the same bytes again."""
-    return files.select("storage_key", "content").mapInArrow(lambda batches: _stored(root, batches), "storage_key string")
+    return dealt(files.select("storage_key", "content")).mapInArrow(lambda batches: _stored(root, batches), "storage_key string")

@@ -3,6 +3,7 @@
 import pytest
 
 from sourcemark.sources import erasure as er
+from sourcemark.sources import keyed
 
 SCHEMAS = {
     "accounts": "account_id long, name string",
@@ -118,3 +119,26 @@ def test_a_publication_that_was_cut_off_is_finished(spark, stored):
     er.publish(tables, str(root), folder, first)
     er.publish(tables, str(root), folder, touched)
     assert contents(spark, root) == {n: sorted(r, key=str) for n, r in expected({3, 4}).items()}
+
+
+def test_writing_is_not_tied_to_the_number_of_parts(spark, tmp_path):
+    rows = spark.range(0, 8_000, numPartitions=8).withColumnRenamed("id", "account_id")
+    er.store_tables({"accounts": rows}, str(tmp_path), 2)
+    # Every task writes its share of both parts, instead of one task a part.
+    assert len(list((tmp_path / "accounts").glob("part=*/*.parquet"))) == 16
+    stored = er.read_tables(spark, str(tmp_path), {"accounts": "account_id long"})["accounts"]
+    assert stored.count() == stored.select("account_id").distinct().count() == 8_000
+
+
+def test_a_table_is_read_once_per_erasure(spark, stored):
+    tables = er.read_tables(spark, str(stored[0]), SCHEMAS)
+    survivors = er.erase_accounts(tables, spark.createDataFrame([(3,)], "account_id long"))
+    for name in ("applications", "events"):
+        plan = survivors[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1, plan
+
+
+def test_missing_files_are_told_without_opening_any(spark, stored):
+    asked = spark.createDataFrame([("3/cv",), ("3/none",)], "storage_key string")
+    found = {r.storage_key: (r.length, r.content) for r in keyed.read_by_key(spark, str(stored[1]), asked, opened=False).collect()}
+    assert found == {"3/cv": (4, None), "3/none": (None, None)}
