@@ -75,10 +75,23 @@ def collapse(text: Column) -> Column:
 
 
 def occurrences(text: Column, part: Column) -> Column:
-    """How often ``part`` occurs in ``text`` without overlap."""
-    # In bytes, whose number a string knows; counting characters would read the text twice more.
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, part, F.lit("")))
-    return (removed / F.octet_length(part)).cast("int")
+    """How often ``part``, which is not empty, occurs in ``text`` without overlap."""
+    return F.regexp_count(text, literally(part))
+
+
+def literally(part: Column) -> Column:
+    """A pattern that matches ``part`` itself. The matcher skips ahead by the length of such a pattern (Boyer-Moore)."""
+    return F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def is_basic(text: Column) -> Column:
+    """Whether all code points lie below U+10000, so that the matcher's offsets are code points."""
+    return is_ascii(text) | ~text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
+def first_at(text: Column, part: Column, basic: Column) -> Column:
+    """1-based offset of the first ``part``, which is not empty, in ``text``; 0 without one. ``basic``: :func:`is_basic` of the text."""
+    return F.when(basic, F.regexp_instr(text, literally(part))).otherwise(F.instr(text, part))
 
 
 def lines(text: Column) -> Column:

@@ -120,7 +120,7 @@ def _with(claims: Column, names: list[str], **new: Callable[[Column], Column]) -
 
 
 def _searched(claims: str, names: list[str], text: Column) -> Column:
-    return _with(F.col(claims), names, _at=lambda c: F.when(c["_why"].isNull(), F.instr(text, c["_q"])))
+    return _with(F.col(claims), names, _at=lambda c: F.when(c["_why"].isNull(), tx.first_at(text, c["_q"], F.col("_basic"))))
 
 
 def _placed(claims: str, names: list[str], text: Column, pages: Column) -> Column:
@@ -135,9 +135,9 @@ def _placed(claims: str, names: list[str], text: Column, pages: Column) -> Colum
     out = _with(F.col(claims), names, _pq=lambda c: F.when(c["_at"] == 0, tx.plain_spaces(c["_q"])))
     out = _with(out, names, _sq=lambda c: tx.squeeze(c["_pq"]))
     # Both looser tiers need the squeezed quote inside the squeezed text.
-    out = _with(out, names, _sat=lambda c: F.instr(squeezed_text, c["_sq"]))
+    out = _with(out, names, _sat=lambda c: tx.first_at(squeezed_text, c["_sq"], F.col("_basic")))
     out = _with(out, names, _cq=lambda c: F.when(c["_sat"] > 0, tx.collapse(c["_pq"])))
-    out = _with(out, names, _cat=lambda c: F.instr(collapsed_text, c["_cq"]))
+    out = _with(out, names, _cat=lambda c: tx.first_at(collapsed_text, c["_cq"], F.col("_basic")))
     out = _with(
         out,
         names,
@@ -168,7 +168,9 @@ def _placed(claims: str, names: list[str], text: Column, pages: Column) -> Colum
         out,
         names,
         is_ambiguous=lambda c: c["occurrences"] > 1,
-        found=lambda c: F.substr(text, c["char_start"] + 1, c["char_end"] - c["char_start"]),
+        found=lambda c: F.when(c["match_kind"] == exact, c["_q"]).otherwise(
+            F.substr(text, c["char_start"] + 1, c["char_end"] - c["char_start"])
+        ),
         page=lambda c: F.when(c["reason"].isNull(), page_of(pages, c["char_start"])),
     )
 
@@ -196,7 +198,7 @@ def locate_quotes(df: DataFrame, text: str = "text", quote: str = "quote") -> Da
     occurrences, is_ambiguous and reason. ``text`` must be NFC already.
     """
     names = ["_q", "_why"]
-    read = _read_quotes(df, quote).withColumn("_text", F.col(text))
+    read = _read_quotes(df, quote).withColumn("_text", F.col(text)).withColumn("_basic", tx.is_basic(F.col("_text")))
     nested = read.withColumn("_claims", F.array(F.struct(*names))).drop(*names)
     searched = nested.withColumn("_claims", _searched("_claims", names, F.col("_text")))
     return _inlined(searched, names, F.col("_text"), F.lit(None).cast(_NO_PAGES), df.columns).drop("page")
@@ -220,9 +222,11 @@ def read_quotes(claims: DataFrame) -> DataFrame:
 
 
 def as_sources(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents as they are searched: the text in NFC, and the pages if there are any."""
+    """Documents as they are searched: the text in NFC, what it is made of (once, not once a claim), and the pages if there are any."""
     pages = F.col("pages") if "pages" in docs.columns else F.lit(None)
-    return docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.cast(_NO_PAGES).alias("_pages"))
+    read = docs.select(key, tx.nfc(F.col("text")).alias("_text"), pages.cast(_NO_PAGES).alias("_pages"))
+    # Of the text in NFC: some ideographs below U+10000 are composed to ones above.
+    return read.withColumn("_basic", tx.is_basic(F.col("_text")))
 
 
 def place_bundles(bundles: DataFrame, columns: Sequence[str], key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,9 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from sourcemark.functions import text as tx
 from sourcemark.operators import evidence as ev
 
 # Ranges of code points that words are drawn from, and what may stand between words.
@@ -204,3 +206,30 @@ def test_long_texts_are_placed_through_their_map(spark):
     for (text, quote), row in zip(pairs, locate(spark, pairs), strict=True):
         kind, start, end, n = brute(text, quote)
         assert (row.match_kind or row.reason, row.char_start, row.char_end, row.occurrences) == (kind, start, end, n)
+
+
+def test_literal_search_counts_code_points(spark):
+    quotes = {"plain": "a.c d", "wide": "\U0001f600 end", "slashes": r"q\E.*\Qz", "composed": "behind"}
+    texts = {
+        "plain": "axc d a.c d a.c d",
+        "wide": "\U0001f600\U0001f600x \U0001f600 end",
+        "slashes": r"qz q\E.*\Qz q\E.*\Qz q\E.*\Qz",
+        # This ideograph lies below U+10000, its composed form above.
+        "composed": "\ufa6c\ufa6c behind",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    claims = spark.createDataFrame(list(quotes.items()), "doc_id string, quote string")
+    got = {r.doc_id: (r.found, r.char_start, r.char_end, r.occurrences) for r in ev.resolve(claims, docs).collect()}
+    assert got == {
+        "plain": ("a.c d", 6, 11, 2),
+        "wide": ("\U0001f600 end", 4, 9, 1),
+        "slashes": (r"q\E.*\Qz", 3, 11, 3),
+        "composed": ("behind", 3, 9, 1),
+    }
+
+
+def test_an_occurrence_is_counted_without_copying_the_text(spark):
+    claim = spark.createDataFrame([("abcd " * 3, "abcd")], "text string, quote string")
+    counted = claim.select(tx.occurrences(F.col("text"), F.col("quote")).alias("n"))
+    assert counted.first().n == 3
+    assert "replace(text" not in counted._jdf.queryExecution().analyzed().toString()
