@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sourcemark.functions import text as tx
 from sourcemark.functions.numbers import round_exact
 from sourcemark.operators.joins import attach_bundles
+from sourcemark.session import settle
 
 # The shortest quote that counts as evidence, and the shortest for tier three.
 MIN_QUOTE = 4
@@ -239,7 +240,11 @@ def place_bundles(bundles: DataFrame, columns: Sequence[str], key: str = "doc_id
 
 
 def split_outcomes(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verified, dropped): nothing is lost, every dropped claim keeps its original quote."""
+    """(verified, dropped): nothing is lost, every dropped claim keeps its original quote.
+
+    Outcomes are written once: both halves read them, and placing claims again would cost as much as the first time.
+    """
+    resolved = settle(resolved)
     verified = resolved.where(F.col("reason").isNull()).drop("reason")
     located = ("found", "char_start", "char_end", "match_kind", "occurrences", "is_ambiguous", "page")
     dropped = resolved.where(F.col("reason").isNotNull()).drop(*located)

@@ -233,3 +233,12 @@ def test_an_occurrence_is_counted_without_copying_the_text(spark):
     counted = claim.select(tx.occurrences(F.col("text"), F.col("quote")).alias("n"))
     assert counted.first().n == 3
     assert "replace(text" not in counted._jdf.queryExecution().analyzed().toString()
+
+
+def test_both_halves_read_outcomes_placed_once(spark):
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, "words"), (1, "other")], "doc_id long, quote string")
+    halves = ev.split_outcomes(ev.resolve(claims, docs))
+    assert [[r.quote for r in half.collect()] for half in halves] == [["words"], ["other"]]
+    for half in halves:
+        assert "Join" not in half._jdf.queryExecution().optimizedPlan().toString()
