@@ -138,15 +138,20 @@ def verified_profile(raw: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def profile_evidence(profiles: DataFrame) -> DataFrame:
-    """Every citation of a profile, in display order; dropped claims have none."""
+def cited() -> Column:
+    """Every citation of a verified profile's row, in display order; dropped claims have none."""
     singles = [F.col(c)["evidence"] for c in ("full_name", "headline", "years_experience")]
     lists = [
         F.coalesce(F.transform(F.col(c), lambda i: i["evidence"]), F.array().cast(f"array<{ev.SPAN}>"))
         for c in ("skills", "experiences", "education")
     ]
     everything = F.concat(F.array(*singles, F.col("seniority_evidence")), *lists)
-    return profiles.select("doc_id", F.filter(everything, lambda s: s.isNotNull()).alias("refs"))
+    return F.filter(everything, lambda s: s.isNotNull())
+
+
+def profile_evidence(profiles: DataFrame) -> DataFrame:
+    """The citations of each profile, by document."""
+    return profiles.select("doc_id", cited().alias("refs"))
 
 
 def judgment_evidence(judgments: DataFrame, keys: Sequence[str]) -> DataFrame:

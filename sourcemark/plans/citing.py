@@ -232,9 +232,8 @@ FLATTEN_PROFILE = (
 def verified_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     p = pf.verified_profile(_raw_profiles(docs), docs.select("doc_id", "text"))
-    refs = pf.profile_evidence(p).select("doc_id", F.size("refs").alias("refs"))
     names = lambda c, f: F.array_join(F.transform(c, lambda i: i[f]), ",").alias(c)
-    return p.join(refs, "doc_id").select(
+    return p.select(
         "doc_id",
         F.col("full_name.value").alias("full_name"),
         F.col("full_name.evidence.char_start").alias("name_start"),
@@ -248,7 +247,7 @@ def verified_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.col("stats.verified").alias("verified"),
         F.col("stats.hallucination_rate").alias("hallucination_rate"),
-        F.col("refs").cast("bigint").alias("refs"),
+        F.size(pf.cited()).cast("bigint").alias("refs"),
     )
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sourcemark.functions import text as tx
 from sourcemark.operators import evidence as ev
 
@@ -242,3 +243,8 @@ def test_both_halves_read_outcomes_placed_once(spark):
     assert [[r.quote for r in half.collect()] for half in halves] == [["words"], ["other"]]
     for half in halves:
         assert "Join" not in half._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_are_verified_once(spark, sf_dir):
+    plan = entry.queries()["verified_profile"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1, plan
