@@ -169,7 +169,7 @@ li AS (SELECT doc_id, page, region_no, row_no, string_agg(text, ' ' ORDER BY x0)
 SELECT doc_id, page, sha256(string_agg(line, chr(10) ORDER BY region_no, row_no)) AS text_hash FROM li GROUP BY ALL"""
 
 
-def _chars(turns: DataFrame) -> DataFrame:
+def _chars(turns: DataFrame, *keep: str) -> DataFrame:
     """Characters on a grid of eighty to the line, at positions that need rounding; an array a page."""
 
     def placed(ch, idx):
@@ -187,6 +187,7 @@ def _chars(turns: DataFrame) -> DataFrame:
     return turns.select(
         F.col("conv_id").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page"),
+        *keep,
         F.transform(F.split("text", "", -1), placed).alias("chars"),
     )
 
@@ -263,8 +264,11 @@ TRUSTED_GEOMETRY = """SELECT conv_id AS doc_id, (turn + 1)::INTEGER AS page, CAS
 def _document_runs(turns: DataFrame) -> DataFrame:
     """Runs in document space: page runs shifted by where their page starts."""
     pages = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "text")
-    starts = asm.explode_pages(asm.assemble_documents(pages)).select("doc_id", "page", F.col("char_start").alias("_delta"))
-    runs = gm.char_runs(_chars(turns)).join(starts, ["doc_id", "page"])
+    starts = asm.explode_pages(asm.assemble_documents(pages)).select(
+        F.col("doc_id").alias("conv_id"), (F.col("page") - 1).alias("turn"), F.col("char_start").alias("_delta")
+    )
+    # A page meets its start as text: its runs are many times larger.
+    runs = gm.char_runs(_chars(turns.join(starts, ["conv_id", "turn"]), "_delta"), keep=["_delta"])
     return gm.shift_runs(runs, F.col("_delta")).drop("_delta")
 
 
